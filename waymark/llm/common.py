@@ -131,3 +131,20 @@ def keep_rows(df: DataFrame, text: str, make) -> DataFrame:
             yield batch.filter(pa.array([bool(f(t)) for t in texts(batch.column(at))], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A filter of ``2**bits`` bits, whatever the number of rows: those of the first ``bits`` of the hashes in ``key`` are set."""
+    from pyspark.sql import functions as F
+
+    at = f"shiftrightunsigned(`{key}`, {64 - bits})"
+    rows = df.select(F.expr(f"cast(shiftright({at}, 6) as int)").alias("at"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(filter_bits: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each hash may be among those of :func:`bitmap`; never false for one that is."""
+    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (filter_bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1

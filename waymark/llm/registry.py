@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.llm import audio, bytebpe, repetition
+from waymark.llm import audio, bytebpe, jaccard, repetition
 
-MODULES = (audio, repetition, bytebpe)
+MODULES = (audio, repetition, bytebpe, jaccard)
 
 
 def queries() -> dict:
