@@ -138,9 +138,9 @@ def bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
     from pyspark.sql import functions as F
 
     at = f"shiftrightunsigned(`{key}`, {64 - bits})"
-    rows = df.select(F.expr(f"cast(shiftright({at}, 6) as int)").alias("at"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = df.select(F.expr(f"cast(shiftright({at}, 6) as int)").alias("at"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 

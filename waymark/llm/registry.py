@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.llm import audio, bytebpe, jaccard, repetition
+from waymark.llm import audio, bytebpe, jaccard, repetition, substring
 
-MODULES = (audio, repetition, bytebpe, jaccard)
+MODULES = (audio, repetition, bytebpe, jaccard, substring)
 
 
 def queries() -> dict:
