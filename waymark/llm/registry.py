@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.llm import audio, bytebpe, jaccard, repetition, substring
+from waymark.llm import audio, bytebpe, jaccard, mixing, repetition, substring
 
-MODULES = (audio, repetition, bytebpe, jaccard, substring)
+MODULES = (audio, repetition, bytebpe, jaccard, substring, mixing)
 
 
 def queries() -> dict:
