@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.llm import audio, bytebpe, jaccard, mixing, repetition, substring
+from waymark.llm import audio, bytebpe, jaccard, mixing, repetition, substring, tokenids
 
-MODULES = (audio, repetition, bytebpe, jaccard, substring, mixing)
+MODULES = (audio, repetition, bytebpe, jaccard, substring, mixing, tokenids)
 
 
 def queries() -> dict:
