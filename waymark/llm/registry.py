@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.llm import audio, bytebpe, jaccard, mixing, repetition, substring, tokenids
+from waymark.llm import audio, bytebpe, jaccard, license, mixing, repetition, substring, tokenids
 
-MODULES = (audio, repetition, bytebpe, jaccard, substring, mixing, tokenids)
+MODULES = (audio, repetition, bytebpe, jaccard, substring, mixing, tokenids, license)
 
 
 def queries() -> dict:
