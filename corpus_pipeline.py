@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm import bytebpe, repetition
+from waymark.llm import bytebpe, jaccard, mixing, repetition, substring
 from waymark.llm.common import cut, documents
 
 
@@ -13,14 +14,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return repetition.keep(docs)
 
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the windows of words that repeat; n_chars follows the text."""
+    out = substring.remove_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs).select(docs.columns)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's byte-level BPE ids, their count and digests."""
+    """Each document's number of byte-level BPE ids and the digests of ids and decoded bytes."""
     return bytebpe.encode_documents(docs, finish=bytebpe.digests, fields=bytebpe.DIGESTS)
 
 
-STAGES = [("quality_rules", quality_rules), ("byte_bpe", byte_bpe)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard", ngram_jaccard),
+    ("substring_dedup", substring_dedup),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
+]
 
-#: The stages can't be expressed in SQL; tests hold the pipeline against a brute-force version.
+#: The stages can't be expressed in SQL; a test holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
