@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.llm import audio, bytebpe, jaccard, license, mixing, repetition, substring, tokenids
+from waymark.llm import audio, bytebpe, classifier, jaccard, license, mixing, repetition, substring, tokencounts, tokenids
 
-MODULES = (audio, repetition, bytebpe, jaccard, substring, mixing, tokenids, license)
+MODULES = (audio, repetition, bytebpe, jaccard, substring, mixing, tokenids, license, tokencounts, classifier)
 
 
 def queries() -> dict:
