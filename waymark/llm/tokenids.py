@@ -23,12 +23,16 @@ long text makes a shard of its own length; other columns are ignored.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +42,8 @@ from waymark.llm.common import cut, documents, python_batches, record, schemas,
 SHARD_IDS, ROUNDS, MIN_PAIRS, STRIDE = 1 << 19, 3, 64, 256
 COUNTERS = 1 << 18
 CACHE = 1_200_000
+#: Arrow batches that are encoded at once.
+TOGETHER = 4
 MARKS = frozenset(b".,;:!?|")
 #: How the tokenizer splits words of ASCII characters.
 SPLITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+", re.I).findall
@@ -58,6 +64,11 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
+        # The same model for words of letters in lower case, to which normalizer and split pattern would do nothing.
+        bare = json.loads(self.tokenizer.to_str())
+        bare["normalizer"] = None
+        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.letters = Tokenizer.from_str(json.dumps(bare))
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -68,27 +79,46 @@ class WordCoder:
     def _whole(self, word: bytes) -> bytes:
         return np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _together(self, tokenizer, words: list[bytes], sizes: list[int], texts: list[str]) -> None:
+        """Encodes words with one call, ``sizes`` split tokens each, and puts them into the cache if the ids come apart as they should."""
+        ids = np.asarray(tokenizer.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if words and len(ends) == sum(sizes) and ends[-1] == len(ids):
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(words, (4 * ends[np.cumsum(sizes) - 1]).tolist()):
+                self.cache[w] = raw[at:end]
+                at = end
+
     def _learn(self, words: list[bytes]) -> None:
         """Puts words, none with a special token, into the cache."""
         cache, later, new = self.cache, [], set()
         for w in words:
-            if w[-1] in MARKS and w[-2:-1].isalpha():  # punctuation after a letter is a token apart
+            # Punctuation after a letter is a token apart.
+            if w[-1] in MARKS and (w[-2:-1].isalpha() or w[-2:-1] > b"\x7f" and w.decode()[-2].isalpha()):
                 head = w[:-1]
                 later.append((w, head))
                 if head not in cache:
                     new.add(head)
             else:
                 new.add(w)
-        # Words whose number of tokens between splits is certain go to the tokenizer together.
-        many = [w for w in new if w.isascii() or w.decode().isalpha()]
-        sizes = [1 if w.isalpha() or not w.isascii() else len(SPLITS(w)) for w in many]
-        ids = np.asarray(self.tokenizer.encode(b"\n".join(many).decode(), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.is_end[ids]) + 1
-        if len(ends) == sum(sizes) and (not len(ids) or ends[-1] == len(ids)):
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(many, (4 * ends[np.cumsum(sizes) - 1]).tolist() if many else ()):
-                cache[w] = raw[at:end]
-                at = end
+        letters, plain, other, sizes = [], [], [], []
+        for w in new:
+            if w.isascii():
+                if w.isalpha():
+                    letters.append(w)
+                    plain.append(w.decode().lower())
+                else:
+                    other.append(w)
+                    sizes.append(len(SPLITS(w)))
+            else:
+                t = w.decode()
+                low = t.lower()
+                # Letters that the normalizer only makes lower case, each for itself.
+                if low.isalpha() and len(low) == len(t) and "\u03a3" not in t and is_normalized("NFC", t) and is_normalized("NFC", low):
+                    letters.append(w)
+                    plain.append(low)
+        self._together(self.letters, letters, [1] * len(letters), plain)
+        self._together(self.tokenizer, other, sizes, [w.decode() for w in other])
         for w in new:
             if w not in cache:
                 cache[w] = self._whole(w)
@@ -118,7 +148,7 @@ class WordCoder:
                 plain.append(w)
         if plain:
             self._learn(plain)
-        get = cache.__getitem__
+        get = {w: cache[w] for w in unseen}.__getitem__  # a small table is faster to go through
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -236,7 +266,8 @@ def token_files(df: DataFrame, path: str | None = None, text: str = "text", id_c
                 x.clear()
             return record(arrow, [[row[c]] for c in arrow.names])
 
-        for batch in batches:
+        while group := list(islice(batches, TOGETHER)):
+            batch = pa.Table.from_batches(group)
             for name, raw in zip(batch.column(0).to_pylist(), own.encode_many(texts(batch.column(1)))):
                 ids += (raw, mark)
                 names.append(name)
