@@ -178,6 +178,15 @@ def test_jaccard_salted(spark, monkeypatch):
     check_components(spark, ROWS)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=700), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=600))
+def test_vectors_bound_the_difference(common, left, right):
+    a, b = (np.array(sorted(common | x), np.uint64) for x in (left, right))
+    bound = jaccard.least_difference(jaccard.wide_vector(a), jaccard.wide_vector(b))
+    assert bound <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert jaccard.least_difference(jaccard.wide_vector(a), jaccard.wide_vector(a)) == 0
+
+
 def test_keep_one(spark):
     rows = [*ROWS, (None, "one two")]
     kept = jaccard.keep_one(frame(spark, rows, True))

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from waymark.llm import audio, bytebpe, license, repetition, tokencounts, tokenids
 
 ROWS = fixture_rows()
-NAMES = [c for c in "abcé .,'!\n\t0#|" ]
+
 
 
 def by_id(df):
@@ -273,3 +273,24 @@ def test_license_needs_rare_word(spark):
 @pytest.mark.parametrize("f", [repetition.measure, bytebpe.encode_documents, tokencounts.count_tokens, license.scan, audio.to_media, tokenids.token_files])
 def test_empty(spark, f):
     assert f(frame(spark, [])).count() == 0
+
+
+def test_oracle_sql_of_corpus_operators(spark):
+    """Queries with SQL against DuckDB on the smallest documents."""
+    import duckdb
+
+    from waymark.llm import registry
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        got = con.execute(sql)
+        assert [c[0] for c in got.description] == df.columns
+        assert Counter(got.fetchall()) == by_id(df)
+
+
+def test_registry_has_ten_operators():
+    from waymark.llm import registry
+
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))

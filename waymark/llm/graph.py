@@ -8,20 +8,85 @@ from pyspark.sql import functions as F
 from waymark.llm.common import cut, discard
 
 
+#: Up to so many links one task makes the components; beyond, they are made by rounds of joins.
+ONE_TASK = 1 << 18
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (columns a, b of one orderable type) that isn't its component's smallest.
+    """(node, root) of every node of ``links`` (columns a, b of one orderable type) that isn't its component's smallest; a table of :func:`cut`.
 
-    Alternates large-star and small-star steps until the edges are the stars of the smallest nodes; the
-    number of rounds grows with the logarithm of the longest path. Each round's edges are written to the
-    shared folder. Mins are aggregated before the shuffle, and joins on a star's center can be split.
+    Up to ``ONE_TASK`` links, one task goes through them with a union-find. More are made into stars of the smallest nodes by
+    alternate large-star and small-star steps; the number of rounds grows with the logarithm of the longest path. Each round's
+    edges are written to the shared folder; mins are aggregated before the shuffle, and joins on a star's center can be split.
     Empty links give an empty table; repeated links and links of a node with itself count once or not at all.
     """
     edges = cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    n = edges.count()
+    out = _in_one_task(edges) if n <= ONE_TASK else _by_rounds(edges)
+    named = out.withColumnsRenamed({"a": "node", "b": "root"})
+    named.cut_path = out.cut_path
+    return named
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    import pyarrow as pa
+
+    schema = edges.schema
+
+    def run(batches):
+        parent: dict = {}
+
+        def find(x):
+            top = x
+            while parent.setdefault(top, top) != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        fields = None
+        for batch in batches:
+            fields = batch.schema
+            key = lambda c: list(map(_key, c.to_pylist()))
+            for a, b in zip(key(batch.column(0)), key(batch.column(1))):
+                x, y = find(a), find(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        rows = [(x, find(x)) for x in list(parent)]
+        rows = [(_value(x), _value(y)) for x, y in rows if x != y]
+        for k in range(0, len(rows), 4096):
+            a, b = zip(*rows[k : k + 4096])
+            yield pa.RecordBatch.from_arrays([pa.array(list(a), fields.field(0).type), pa.array(list(b), fields.field(1).type)], schema=fields)
+
+    out = cut(edges.repartition(1).mapInArrow(run, schema), "edges")
+    discard(edges)
+    return out
+
+
+class _Struct(tuple):
+    """A struct's values in the order of its fields, which is how Spark compares structs."""
+
+    names: tuple = ()
+
+
+def _key(v):
+    if isinstance(v, dict):
+        k = _Struct(v.values())
+        k.names = tuple(v)
+        return k
+    return v
+
+
+def _value(k):
+    return dict(zip(k.names, k)) if isinstance(k, _Struct) else k
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if now == before:
+            return edges
         before = now
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -2,14 +2,16 @@
 
 Texts with equal sets form a class and are joined once. A class's n-grams are ordered rare first, by a
 sketch of fixed size of document frequencies, then by hash; any common order gives right results, a
-rare-first one gives few candidates. Two classes over the bound share an n-gram among the first
-``n - ceil(bound * n) + 1`` of each (prefix filter), so only these are shuffled and joined, with a length
-filter and a positional filter. The suffix filter compares the sizes of 256 hash ranges of the two sets, an upper
-bound of their overlap. What is left is verified once per pair with the whole sets.
-
-A group of m near copies has m * m / 2 links; components need a few of them. So neighbours in each
-n-gram's list are verified first; pairs inside a component that these links make need no verification, as
-they can't change the components, and only pairs of different components are joined. No list, pair or
+rare-first one gives few candidates. The sketch counts n-grams that repeat among the texts of a piece of a task. Two classes
+over the bound share an n-gram among the first ``n - ceil(bound * n) + 1`` of each (prefix filter), so only these are
+shuffled and joined, with a length filter and a positional filter. The suffix filter compares bit vectors in which each n-gram
+flips one bit: sets differ in as many n-grams at least as the vectors do in bits. Short vectors of one length come first, then longer
+ones for what is left. What is left is verified once per pair
+with the whole sets.
+
+A group of m near copies has m * m / 2 links; components need a few of them. So all pairs of an n-gram's list are
+candidates only if it is short; of longer lists neighbours are verified first, in several orders. Pairs inside a component that
+these links make need no verification, as they can't change the components, and in the end only pairs of different components are joined. No list, pair or
 candidate is capped. Very frequent n-grams (by the sketch) are salted over several tasks in the first step;
 the joins can be split by adaptive execution.
 
@@ -28,16 +30,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from waymark.llm.common import bitmap, cut, documents, in_bitmap, mix, python_batches, record, rolling, schemas, texts, word_hashes
+from waymark.llm.common import bitmap, cut, discard, documents, in_bitmap, mix, python_batches, record, rolling, schemas, texts, word_hashes
 from waymark.llm.graph import components
 
 N, PERCENT = 5, 75
-SKETCH_BITS = 17
+SKETCH_BITS = 22
 #: A list that is longer than others by so many rows is dealt to several tasks.
 SALT_ROWS = 50_000
-#: Hash ranges of the suffix filter.
-RANGES = 256
+#: 64-bit words of the suffix filter's vectors.
+VECTOR = 8
+#: N-grams that a task sorts at once to count those that repeat.
+PIECE = 1 << 21
+#: Classes of a list of which all pairs are candidates at once.
+SHORT = 8
+#: Orders of longer lists in which neighbours are candidates, after the first, and how near neighbours are.
+ORDERS, NEAR = 2, 3
 #: Bits of the filter of wanted documents, which saves work on others; it has no effect on results.
 WANTED_BITS = 23
 #: Classes that a task remembers as seen, to send each once; forgetting costs rows, not results.
@@ -68,25 +77,61 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def vector(s: np.ndarray, bits: int = 64 * VECTOR) -> np.ndarray:
+    """The suffix filter's vector of a set, ``bits`` a power of 2: each element flips one bit."""
+    flips = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
+def wide_vector(s: np.ndarray) -> bytes:
+    """A vector of two to four bits an element."""
+    return vector(s, max(64 * VECTOR, 1 << (2 * len(s)).bit_length())).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """What two wide vectors differ in; the larger is folded, as its elements' bits are the smaller's and more."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
+BITS = [f"b{i}" for i in range(VECTOR)]
+
+
 def _profiles(df: DataFrame, text: str, id_col: str, n: int) -> DataFrame:
-    """A row of each document (id, n, sig), and of each task's counts by bucket of the sketch (bucket, docs)."""
-    kind, arrow = schemas(f"id {df.schema[id_col].dataType.simpleString()}, n bigint, sig bigint, bucket int, docs bigint")
+    """A row of each document (id, n, sig, vector), and of each task's counts by bucket of the sketch (bucket, docs)."""
+    kind, arrow = schemas(f"id {df.schema[id_col].dataType.simpleString()}, n bigint, sig bigint, {', '.join(f'{b} bigint' for b in BITS)}, bucket int, docs bigint")
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts, held, size = np.zeros(1 << SKETCH_BITS, np.int32), [], 0
+
+        def count():
+            nonlocal held, size
+            s = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            run = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True]) if len(s) else np.zeros(1, np.int64)
+            many = np.diff(run)
+            often = many > 1
+            np.add.at(counts, _bucket(s[run[:-1][often]]), many[often])
+            held, size = [], 0
+
         for batch in batches:
-            rows = []
+            rows, bits = [], []
             for t in texts(batch.column(1)):
                 s = shingles(t, n)
-                np.add.at(counts, _bucket(s), 1)
+                held.append(s)
+                size += len(s)
                 rows.append((len(s), signature(s)))
+                bits.append(vector(s))
+                if size >= PIECE:
+                    count()
             if rows:
-                yield record(arrow, [batch.column(0), *zip(*rows), [None] * len(rows), [None] * len(rows)])
+                none = [None] * len(rows)
+                yield record(arrow, [batch.column(0), *zip(*rows), *np.stack(bits, axis=1), none, none])
+        count()
         used = np.flatnonzero(counts)
         for a in range(0, len(used), 10_000):
             part = used[a : a + 10_000]
             none = [None] * len(part)
-            yield record(arrow, [none, none, none, part.tolist(), counts[part].tolist()])
+            yield record(arrow, [none] * (3 + VECTOR) + [part.tolist(), counts[part].tolist()])
 
     return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, kind)
 
@@ -98,7 +143,7 @@ def _prefixes(df: DataFrame, text: str, n: int, percent: int, sketch: np.ndarray
 
     def run(batches):
         counts, seen = shared.value, set()
-        usual = int(np.median(counts))
+        usual = int(np.partition(counts, len(counts) // 2)[len(counts) // 2])
         for batch in batches:
             parts = []
             for t in texts(batch.column(0)):
@@ -111,7 +156,7 @@ def _prefixes(df: DataFrame, text: str, n: int, percent: int, sketch: np.ndarray
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                c = counts[_bucket(s)]
+                c = counts[_bucket(s)].astype(np.int64)
                 k = prefix_length(len(s), percent)
                 first = np.argsort(c, kind="stable")[:k]
                 salts = 1 + np.maximum(0, c[first] - usual) // max(SALT_ROWS, usual)
@@ -133,62 +178,85 @@ def _prefixes(df: DataFrame, text: str, n: int, percent: int, sketch: np.ndarray
 
 
 def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Rows of n-grams that two classes or more have, with the class before in the list if the two may be linked.
+    """Candidate pairs (n_x, sig_x, n_y, sig_y) of the lists of n-grams, and the rows (token, n, sig, pos) of the long lists.
 
-    Reads each task's rows in order, a few thousand at a time.
+    Of a list of up to ``SHORT`` classes all pairs go through the filters, of a longer one those of near neighbours.
+    A task reads its rows in order, a few thousand at a time.
     """
-    kind, arrow = schemas("token bigint, sig bigint, n int, pos int, prev_sig bigint, prev_n int")
+    kind, arrow = schemas("n_x int, sig_x bigint, n_y int, sig_y bigint, token bigint, n int, sig bigint, pos int")
 
-    def listed(a, done, last):
-        """The rows from ``done`` to ``last`` to give, with pairs; all of ``a`` are in order and distinct."""
+    def listed(a, done, was_long, end):
+        """(batches, rows to go on with, how many of these were given, whether their list is long)."""
         token, salt, n, sig, pos = a
-        again = np.r_[False, (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])]
-        give = again | np.r_[again[1:], False] | (salt > 0)
-        give[:done] = give[last:] = False
-        i = np.flatnonzero(give)
-        if not len(i):
-            return None
-        p = np.maximum(i - 1, 0)
-        small, large = n[p].astype(np.int64), n[i].astype(np.int64)
-        need = -(-percent * (small + large) // (100 + percent))
-        near = again[i] & (100 * small >= percent * large) & (1 + np.minimum(small - pos[p] - 1, large - pos[i] - 1) >= need)
-        return record(arrow, [token[i], sig[i], n[i], pos[i], pa.array(sig[p], mask=~near), pa.array(n[p], mask=~near)])
+        size = len(token)
+        begin = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+        length = np.diff(np.r_[begin, size])
+        long = (length > SHORT) | (salt[begin] > 0)
+        long[0] |= was_long
+        stop = size if end or long[-1] else begin[-1]
+        run = np.repeat(np.arange(len(begin)), length)
+        reach = np.where(long, NEAR, SHORT)[run]
+        pairs = []
+        for d in range(1, max(NEAR, SHORT)):
+            i = np.flatnonzero((run[d:] == run[:-d]) & (reach[d:] >= d))
+            i = i[(i + d >= done) & (i + d < stop)]
+            if not len(i):
+                if d >= NEAR:
+                    break
+                continue
+            j = i + d
+            small, large = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
+            ok = (100 * small >= percent * large) & ((100 + percent) * (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1).astype(np.int64)) >= percent * (small + large))
+            pairs.append(np.stack([n[i][ok], sig[i][ok], n[j][ok], sig[j][ok]]))
+        out = []
+        if pairs:
+            p = np.concatenate(pairs, axis=1)
+            swap = (p[0] > p[2]) | (p[0] == p[2]) & (p[1] > p[3])
+            p[:, swap] = p[[2, 3, 0, 1]][:, swap]
+            p = p[:, np.lexsort(p)]
+            p = p[:, np.r_[True, (p[:, 1:] != p[:, :-1]).any(axis=0)]] if p.shape[1] else p
+            none = pa.nulls(p.shape[1])
+            out.append(record(arrow, [pa.array(p[0]), pa.array(p[1]), pa.array(p[2]), pa.array(p[3]), none, none, none, none]))
+        rows = np.flatnonzero(long[run])
+        rows = rows[(rows >= done) & (rows < stop)]
+        if len(rows):
+            none = pa.nulls(len(rows))
+            out.append(record(arrow, [none, none, none, none, *(pa.array(x[rows]) for x in (token, n, sig, pos))]))
+        keep = max(stop - NEAR, begin[-1]) if long[-1] else stop
+        return out, [x[keep:] for x in a], stop - keep, bool(long[-1])
 
     def run(batches):
-        held, carry, done = [], None, 0
+        held, carry, done, long = [], None, 0, False
 
         def flush(end):
-            nonlocal held, carry, done
-            a = [np.concatenate([h[k] for h in held]) for k in range(5)]
-            if carry is not None:  # a row that was given, and one whose successor wasn't known
-                a = [np.concatenate([c, x]) for c, x in zip(carry, a)]
+            nonlocal held, carry, done, long
+            a = [np.concatenate([*([carry[k]] if carry is not None else []), *(h[k] for h in held)]) for k in range(5)]
+            held = []
+            if not len(a[0]):
+                return []
             copy = np.r_[False, np.all([a[k][1:] == a[k][:-1] for k in range(4)], axis=0)]
             a = [x[~copy] for x in a]  # the same class may come from several tasks
-            last = len(a[0]) - (not end)
-            got = listed(a, done, last)
-            held, carry, done = [], [x[max(0, last - 1) :] for x in a], int(last > 0)
-            return got
+            out, carry, done, long = listed(a, done, long, end)
+            return out
 
         for batch in batches:
             if batch.num_rows:
                 held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
-            if len(held) >= 128 and (got := flush(False)) is not None:
-                yield got
-        if not held and carry is not None:
-            held.append([x[:0] for x in carry])
-        if held and (got := flush(True)) is not None:
-            yield got
+            if len(held) >= 128:
+                yield from flush(False)
+        if held or carry is not None:
+            yield from flush(True)
 
     ordered = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "sig")
     return ordered.select("token", "salt", "n", "sig", "pos").mapInArrow(run, kind)
 
 
 def _sets(df: DataFrame, text: str, id_col: str, n: int, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sig, n, ranges, hashes) of the classes in ``pairs``, and of a few others."""
+    """(n, sig, wide, hashes) of the classes in ``pairs``, and perhaps of others."""
     ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
-    keys = ends.join(classes, ["n", "sig"]).select(F.xxhash64("id").alias("key"))
+    keys = ends.join(classes.select("n", "sig", "id"), ["n", "sig"]).select(F.xxhash64("id").alias("key"))
     wanted = df.sparkSession.sparkContext.broadcast(bitmap(keys, "key", WANTED_BITS))
-    kind, arrow = schemas("n int, sig bigint, ranges binary, hashes binary")
+    kind, arrow = schemas("n int, sig bigint, wide binary, hashes binary")
 
     def run(batches):
         bits, seen = wanted.value, set()
@@ -203,8 +271,7 @@ def _sets(df: DataFrame, text: str, id_col: str, n: int, classes: DataFrame, pai
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                ranges = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype("<u4")
-                rows.append((*key, ranges.tobytes(), s.tobytes()))
+                rows.append((*key, wide_vector(s), s.tobytes()))
                 if len(rows) == 64:
                     yield record(arrow, list(zip(*rows)))
                     rows = []
@@ -214,8 +281,21 @@ def _sets(df: DataFrame, text: str, id_col: str, n: int, classes: DataFrame, pai
     return cut(df.select(F.xxhash64(id_col).alias("key"), F.col(text).alias("text")).mapInArrow(run, kind), "sets")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, or its upper bound by hash ranges, is enough."""
+def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``sets`` for classes in ``pairs``, and perhaps a few others; nothing is shuffled."""
+    ends = pairs.select("a.*").union(pairs.select("b.*")).select(F.xxhash64("n", "sig").alias("key"))
+    wanted = sets.sparkSession.sparkContext.broadcast(bitmap(ends, "key", WANTED_BITS))
+
+    def run(batches):
+        for batch in batches:
+            hit = in_bitmap(wanted.value, batch.column(0).to_numpy().view(np.uint64), WANTED_BITS)
+            yield batch.filter(pa.array(hit)).select(["n", "sig", "hashes"])
+
+    return sets.select(F.xxhash64("n", "sig").alias("key"), "n", "sig", "hashes").mapInArrow(run, "n int, sig bigint, hashes binary")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough by the whole sets (hashes), or may be by the wide vectors."""
     kind, arrow = schemas("a struct<n:int,sig:bigint>, b struct<n:int,sig:bigint>")
     side = lambda x: sets.select(F.struct("n", "sig").alias(x), F.col(column).alias(f"{x}_set"))
 
@@ -224,56 +304,93 @@ def _checked(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> Da
             ok = []
             sizes = zip(*(batch.column(k).field("n").to_pylist() for k in (0, 1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
             for na, nb, x, y in sizes:
-                if column == "ranges":
-                    common = int(np.minimum(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")).sum())
+                if column == "wide":
+                    ok.append((100 + percent) * least_difference(x, y) <= (100 - percent) * (na + nb))
                 else:
                     common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                ok.append((100 + percent) * common >= percent * (na + nb))
+                    ok.append((100 + percent) * common >= percent * (na + nb))
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(k).cast(arrow.field(k).type) for k in (0, 1)], schema=arrow)
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
-    return both.mapInArrow(run, kind)
+    return both.mapInArrow(run, kind).distinct()
+
+
+def _near(x: str, y: str, percent: int):
+    """The length and positional filters of rows with columns named ``x`` and ``y`` after their own names."""
+    small, large = f"least(n{x}, n{y})", f"greatest(n{x}, n{y})"
+    return F.expr(f"100 * {small} >= {percent} * {large}") & F.expr(f"{100 + percent} * (1 + least(n{x} - pos{x} - 1, n{y} - pos{y} - 1)) >= {percent} * (n{x} + n{y})")
+
 
+def _suffix(x: str, y: str, percent: int):
+    """The suffix filter."""
+    differ = " + ".join(f"bit_count({b}{x} ^ {b}{y})" for b in BITS)
+    return F.expr(f"{100 + percent} * ({differ}) <= {100 - percent} * (n{x} + n{y})")
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked pairs among candidates; each is verified once."""
-    close = cut(_checked(pairs, sets, "ranges", percent).distinct(), "close")
-    return _checked(close, sets, "hashes", percent).distinct()
+
+def _ends(x: str, y: str):
+    """The classes of rows ``x`` and ``y``, the lesser first."""
+    ends = [F.struct(F.col(f"n{k}").alias("n"), F.col(f"sig{k}").alias("sig")) for k in (x, y)]
+    a, b = F.least(*ends), F.greatest(*ends)
+    return a.n.alias("n_x"), a.sig.alias("sig_x"), b.n.alias("n_y"), b.sig.alias("sig_y")
 
 
 def join_classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows, stars): id, n, sig of each row of ``df``, and (node, root) of classes that aren't the least of their component."""
+    """(rows, stars): id, n, sig of ``df``'s rows, and (node, root) of classes that aren't the least of their component."""
     python_batches(df.sparkSession)
     profiles = cut(_profiles(df, text, id_col, n), "profiles")
-    rows = profiles.where("bucket is null").select("id", F.col("n").cast("int").alias("n"), "sig")
-    counts = profiles.where("bucket is not null").groupBy("bucket").agg(F.sum("docs").alias("docs")).toPandas()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[counts["bucket"].to_numpy(np.int64)] = counts["docs"].to_numpy(np.int64)
-    classes = rows.where("n > 0").groupBy("n", "sig").agg(F.min("id").alias("id"))
-
+    rows = profiles.where("bucket is null").select("id", F.col("n").cast("int").alias("n"), "sig", *BITS)
+    counts = profiles.where("bucket is not null").groupBy("bucket").agg(F.least(F.sum("docs"), F.lit(1 << 30)).cast("int").alias("docs")).toArrow()
+    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+    sketch[counts["bucket"].to_numpy()] = counts["docs"].to_numpy()
+    classes = cut(rows.where("n > 0").groupBy("n", "sig").agg(F.min("id").alias("id"), *(F.min(b).alias(b) for b in BITS)), "classes")
     lists = cut(_lists(_prefixes(df, text, n, percent, sketch), percent), "lists")
-    node = F.struct("n", "sig")
-    chain = cut(lists.where("prev_sig is not null").select(F.struct(F.col("prev_n").alias("n"), F.col("prev_sig").alias("sig")).alias("a"), node.alias("b")).where("a != b").distinct(), "chain")
-    links = cut(_verified(chain, _sets(df, text, id_col, n, classes, chain), percent), "links")
+    vectors = lambda k: classes.select(*(F.col(c).alias(f"{c}{k}") for c in ("n", "sig", *BITS)))
+    side = lambda k, *more: [F.col(c).alias(f"{c}{k}") for c in ("n", "sig", *more)]
+
+    def verified(pairs, old=None, filtered=False):
+        """Links among candidate pairs (n_x, sig_x, n_y, sig_y), and ``old`` ones."""
+        if not filtered:
+            pairs = pairs.distinct().join(vectors("_x"), ["n_x", "sig_x"]).join(vectors("_y"), ["n_y", "sig_y"]).where(_suffix("_x", "_y", percent))
+        pairs = cut(pairs.select(F.struct(F.col("n_x").alias("n"), F.col("sig_x").alias("sig")).alias("a"), F.struct(F.col("n_y").alias("n"), F.col("sig_y").alias("sig")).alias("b")), "pairs")
+        sets = _sets(df, text, id_col, n, classes, pairs)
+        close = cut(_compared(pairs, sets, "wide", percent), "close")
+        found = _compared(close, _only(sets, close), "hashes", percent)
+        links = cut(found if old is None else old.union(found), "links")
+        discard(pairs, close, sets, *([] if old is None else [old]))
+        return links
+
+    links = verified(lists.where("token is null").select("n_x", "sig_x", "n_y", "sig_y"))
     stars = components(links)
-
-    # Then pairs of different components, in the lists that hold more than one.
-    member = lists.select("token", "n", "sig", "pos").join(stars.select(F.col("node.n").alias("n"), F.col("node.sig").alias("sig"), "root"), ["n", "sig"], "left").withColumn("root", F.coalesce("root", node))
-    member = cut(member, "member")
-    mixed = member.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
-    member = cut(member.join(mixed, "token", "left_semi"), "mixed")
-    x, y = (member.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("n", "sig", "pos", "root"))) for k in "xy")
-    near = (
-        (x.token == y.token)
-        & F.expr("root_x != root_y and (n_x < n_y or n_x = n_y and sig_x < sig_y)")
-        & F.expr(f"100 * n_x >= {percent} * n_y")
-        & F.expr(f"{100 + percent} * (1 + least(n_x - pos_x - 1, n_y - pos_y - 1)) >= {percent} * (n_x + n_y)")
-    )
-    rest = x.join(y, near).select(F.struct(F.col("n_x").alias("n"), F.col("sig_x").alias("sig")).alias("a"), F.struct(F.col("n_y").alias("n"), F.col("sig_y").alias("sig")).alias("b")).distinct()
-    rest = cut(rest.join(chain, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, _sets(df, text, id_col, n, classes, rest), percent)
-    return rows, components(cut(links.union(more), "links"))
+    member = lists.where("token is not null").select("token", "n", "sig", "pos")
+    for order in range(ORDERS + 1):
+        # Only lists with more than one component are gone through again.
+        roots = stars.select("node.*", "root")
+        named = cut(member.drop("root").join(roots, ["n", "sig"], "left").withColumn("root", F.coalesce("root", F.struct("n", "sig"))), "named")
+        mixed = named.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("token")
+        old, member = member, cut(named.join(mixed, "token", "left_semi"), "mixed")
+        discard(named, *([old] if order else [lists]))
+        if not member.take(1):
+            break
+        if order < ORDERS:
+            window = Window.partitionBy("token").orderBy(F.xxhash64("n", "sig", F.lit(order)), "n", "sig")
+            close = F.array(*(F.lag(F.struct("n", "sig", "pos", "root"), k).over(window) for k in range(1, NEAR + 1)))
+            near = member.select(*side("_x", "pos", "root"), close.alias("near")).select("*", F.explode("near").alias("y"))
+            near = near.select("*", *(F.col(f"y.{c}").alias(f"{c}_y") for c in ("n", "sig", "pos", "root")))
+            links = verified(near.where("root_x != root_y").where(_near("_x", "_y", percent)).select(*_ends("_x", "_y")), links)
+        else:
+            full = cut(member.join(classes.drop("id"), ["n", "sig"]), "full")
+            x, y = full.select(F.col("token").alias("tx"), *side("_x", "pos", "root", *BITS)), full.select(F.col("token").alias("ty"), *side("_y", "pos", "root", *BITS))
+            apart = (F.col("tx") == F.col("ty")) & F.expr("root_x != root_y and (n_x < n_y or n_x = n_y and sig_x < sig_y)")
+            pairs = x.join(y, apart & _near("_x", "_y", percent) & _suffix("_x", "_y", percent)).select("n_x", "sig_x", "n_y", "sig_y").distinct()
+            links = verified(pairs, links, filtered=True)
+            discard(full)
+        discard(stars)
+        stars = components(links)
+    discard(member, links)
+    rows = cut(rows.select("id", "n", "sig"), "rows")
+    discard(profiles, classes)
+    return rows, stars
 
 
 def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -282,6 +399,7 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     classes = rows.where("n > 0").groupBy("n", "sig").agg(F.min("id").alias("id"))
     rooted = classes.join(stars.select("node.*", "root"), ["n", "sig"], "left").select("n", "sig", "id", F.coalesce("root", F.struct("n", "sig")).alias("root"))
     rooted = cut(rooted, "rooted")
+    discard(stars)
     best = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = rooted.join(best, "root").select("n", "sig", "component_id")
     return rows.join(named, ["n", "sig"], "left").select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
@@ -302,3 +420,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
+
+ORACLE = {
+    "op10_ngram_jaccard": r"""
+WITH RECURSIVE low AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM low),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT x.r AS a, y.r AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM c JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * common >= 75 * (p.n + q.n - common)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM low UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+best AS (SELECT reach.a AS r, min(low.doc_id) AS component_id FROM reach JOIN low ON low.r = reach.b GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM low JOIN best USING (r) LEFT JOIN n USING (r)
+"""
+}
