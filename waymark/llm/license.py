@@ -78,7 +78,7 @@ def keyed(df: DataFrame, text: str, id_col: str, templates) -> DataFrame:
     at = split.withColumn("at", F.array_compact(found))
 
     def hit(i):
-        first = F.greatest(i - reach, F.lit(0))
+        first = F.greatest(i - reach, lead)
         return F.struct(
             (i - lead).alias("pos"),
             _lower(F.get("w", i)).alias("word"),
@@ -149,3 +149,27 @@ def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_license": op7_license}
+
+
+def _sql() -> str:
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    rows = ", ".join(f"({i}, [{quoted(words)}], '{label}', {str(is_base).lower()})" for i, (words, label, is_base) in enumerate(_templates(BASE, MORE)))
+    return rf"""
+WITH tpl AS (SELECT * FROM (VALUES {rows}) t(id, words, label, base)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+keys AS (SELECT id, words, unnest(words) AS k FROM tpl),
+hits AS (SELECT r, w, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT k FROM keys WHERE k NOT IN ({quoted(sorted(COMMON))}))),
+df AS (SELECT word, count(DISTINCT r) AS n FROM hits GROUP BY word),
+best AS (SELECT id, k FROM (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY coalesce(n, 0), list_position(words, k)) AS o FROM keys LEFT JOIN df ON word = k WHERE k NOT IN ({quoted(sorted(COMMON))})) WHERE o = 1),
+post AS (SELECT id, words, label, base, k, rel FROM (SELECT tpl.*, k, unnest(range(1, len(words) + 1)) AS rel FROM tpl JOIN best USING (id)) WHERE words[rel] = k),
+found AS (SELECT r, label, base, i - rel AS start, len(words) AS n, CASE WHEN i >= rel THEN len(list_filter(range(1, len(words) + 1), lambda j: coalesce(w[i - rel + j] = words[j], false)))::DOUBLE / len(words) ELSE 0 END AS share FROM hits JOIN post ON word = k),
+places AS (SELECT DISTINCT r, label, base, start, n FROM found WHERE share = 1),
+based AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM places WHERE base GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels FROM places GROUP BY r),
+scored AS (SELECT r, max(share) AS score FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN based USING (r) LEFT JOIN named USING (r) LEFT JOIN scored USING (r)
+"""
+
+
+ORACLE = {"op7_license": _sql()}
