@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import bitmap, cut, documents, in_bitmap, python_batches, record, rolling, schemas, texts, word_hashes
+from waymark.llm.common import bitmap, cut, discard, documents, in_bitmap, python_batches, record, rolling, schemas, texts, word_hashes
 
 WIDTH, GRAM = 35, 8
 HOT = 1000
@@ -246,7 +246,9 @@ def find_repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     found = cut(_pieces(rows, bitmap(counts, "anchor", ANCHOR_BITS), hot, width, gram), "pieces")
     verdicts = cut(_verdicts(found, width), "verdicts")
     places = found.where("body is null").select("route", "piece", "id", "th", "start")
-    return places.join(verdicts, ["route", "piece"]).groupBy("id", "th").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    spans = cut(places.join(verdicts, ["route", "piece"]).groupBy("id", "th").agg(F.collect_set(F.struct("start", "windows")).alias("spans")), "spans")
+    discard(counts, found, verdicts)
+    return spans
 
 
 def removed(n_words: int, spans, width: int) -> np.ndarray:
@@ -322,3 +324,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+
+ORACLE = {
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+x AS (SELECT r, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i:i + 34], ' ') END AS win FROM t),
+f AS (SELECT r, i, word, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 THEN 1 ELSE 0 END AS again FROM x),
+g AS (SELECT r, i, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM g GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""
+}
