@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut, documents, python_batches, record, schemas, texts
+from waymark.llm.common import cut, documents, python_batches, record, schemas
 
 SHARD_IDS, ROUNDS, MIN_PAIRS, STRIDE = 1 << 19, 3, 64, 256
 COUNTERS = 1 << 18
@@ -128,27 +128,30 @@ class WordCoder:
                 cache[mark] = self._whole(mark)
             cache[w] = cache[head] + cache[mark]
 
-    def encode_many(self, raws: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def encode_many(self, raws: list[str | bytes]) -> list[bytes]:
+        """The ids of each text, or of its UTF-8 bytes, as little-endian unsigned 32-bit integers."""
         split, unseen = [], set()
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
         for t in raws:
-            raw = t.encode()
+            raw = t if isinstance(t, bytes) else t.encode()
             # A-Z in lower case have the same ids, but for special tokens.
             words = raw.split() if b"<|" in raw and self.special.search(raw) else raw.lower().split()
             split.append(words)
             unseen.update(words)
+        own = {w: cache.get(w) for w in unseen}  # a small table is faster to go through
+        new = [w for w, ids in own.items() if ids is None]
         plain = []
-        for w in [w for w in unseen if w not in cache]:
+        for w in new:
             if b"<|" in w:
                 cache[w] = self._whole(w)
             else:
                 plain.append(w)
         if plain:
             self._learn(plain)
-        get = {w: cache[w] for w in unseen}.__getitem__  # a small table is faster to go through
+        own.update((w, cache[w]) for w in new)
+        get = own.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -161,13 +164,15 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = MIN_PAIRS) -> t
     """(symbols, rules, base): symbols below ``base`` are ids, ``base + i`` stands for the pair ``rules[i]``."""
     base = int(ids.max()) + 1 if len(ids) else 0
     room = (1 << 16 if base <= 1 << 16 else 1 << 32) - base
-    s = ids.astype(np.uint64)
+    # Pairs of 16-bit symbols are worked on as 32-bit numbers.
+    half, kind, spread = (16, np.uint32, 0x9E3779B1) if base + room <= 1 << 16 else (32, np.uint64, 0x9E3779B97F4A7C15)
+    s = ids.astype(kind)
     rules = []
     for _ in range(rounds):
         if len(s) < 2 or room <= 0:
             break
-        pair = s[:-1] << np.uint64(32) | s[1:]
-        slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 18)).astype(np.int64)
+        pair = s[:-1] << kind(half) | s[1:]
+        slot = pair * kind(spread) >> kind(2 * half - 18)
         often = np.bincount(slot, minlength=COUNTERS) >= least
         at = np.flatnonzero(often[slot])  # holds each pair that is frequent; others may share its counter
         if not len(at):
@@ -187,13 +192,13 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = MIN_PAIRS) -> t
         place = np.arange(len(at))
         place -= np.maximum.accumulate(np.where(head, place, 0))
         at, new = at[place % 2 == 0], new[place % 2 == 0]
-        rules.append(np.stack([known[chosen] >> np.uint64(32), known[chosen] & np.uint64(0xFFFFFFFF)], axis=1))
+        rules.append(np.stack([known[chosen] >> kind(half), known[chosen] & kind((1 << half) - 1)], axis=1))
         room -= len(chosen)
-        s[at] = new.astype(np.uint64)
+        s[at] = new.astype(kind)
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-    return s, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint64), base
+    return s, np.concatenate(rules) if rules else np.zeros((0, 2), kind), base
 
 
 def pack(ids: np.ndarray) -> dict:
@@ -218,16 +223,25 @@ class Shard:
         self.lengths = np.r_[np.ones(self.base, np.int64), lengths.astype(np.int64)]
         self.upto = np.frombuffer(row["upto"], "<u8")
 
+        # What each nonterminal stands for, one after the other; a rule's symbols come before it.
+        flat = [np.zeros(0, np.uint32)]
+        self.first = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+        parts: list[np.ndarray] = []
+        for pair in self.rules.tolist():
+            parts.append(np.concatenate([parts[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in pair]))
+        self.flat = np.concatenate([*flat, *parts])
+
     def expand(self, s: np.ndarray) -> np.ndarray:
-        s = s.astype(np.uint32)
-        while (over := s >= self.base).any():
-            size = over + 1
-            out = np.repeat(s, size)
-            at = (np.cumsum(size) - size)[over]
-            rule = self.rules[s[over] - self.base]
-            out[at], out[at + 1] = rule[:, 0], rule[:, 1]
-            s = out
-        return s
+        size = self.lengths[s]
+        end = np.cumsum(size)
+        out = np.repeat(s.astype(np.uint32), size)
+        over = np.flatnonzero(size > 1)
+        size = size[over]
+        # Places of what nonterminals stand for, in the result and in the flat table.
+        shift = np.cumsum(size) - size
+        within = np.arange(int(size.sum())) - np.repeat(shift, size)
+        out[np.repeat(end[over] - size, size) + within] = self.flat[np.repeat(self.first[s[over].astype(np.int64) - self.base], size) + within]
+        return out
 
     def ids(self, begin: int = 0, end: int | None = None) -> np.ndarray:
         end = self.n if end is None else min(end, self.n)
@@ -268,7 +282,8 @@ def token_files(df: DataFrame, path: str | None = None, text: str = "text", id_c
 
         while group := list(islice(batches, TOGETHER)):
             batch = pa.Table.from_batches(group)
-            for name, raw in zip(batch.column(0).to_pylist(), own.encode_many(texts(batch.column(1)))):
+            held_texts = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for name, raw in zip(batch.column(0).to_pylist(), own.encode_many(held_texts)):
                 ids += (raw, mark)
                 names.append(name)
                 sizes.append(len(raw) // 4 + 1)
