@@ -93,12 +93,12 @@ def candidates(keys: DataFrame, postings: DataFrame) -> DataFrame:
 def with_details(pairs: DataFrame, prepared_inputs: DataFrame, detail: DataFrame, spec: MatchSpec) -> DataFrame:
     """Candidates with both sides' tokens, those that pass the filter on numerics."""
     reference = detail.select(
-        F.col("addr_id").alias("address_id2"), F.col("addr").alias("address_matched"), F.col("numeric_tokens").alias("match_numerics"), "suburb", F.col("POSTCODE").alias("postcode"), F.col("LATITUDE").alias("latitude"), F.col("LONGITUDE").alias("longitude"), F.col("STATE").alias("state")
+        F.col("addr_id").alias("address_id2"), F.col("addr").alias("address_matched"), F.col("numeric_tokens").alias("match_numerics"), "suburb", F.col("POSTCODE").alias("postcode"), F.col("LATITUDE").alias("latitude"), F.col("LONGITUDE").alias("longitude"), F.col("STATE").alias("state"),
+        text.alpha_tokens(F.col("addr")).alias("match_alpha_tokens"),  # once per address, not per candidate
     )
     a, b = F.col("input_numerics"), F.col("match_numerics")
     keep = all_numerics(a, b) if spec.overlap is None else similarity.list_overlap(a, b, spec.overlap)
-    joined = pairs.join(prepared_inputs, "address_id1").join(reference, "address_id2").where(keep)
-    return joined.withColumn("match_alpha_tokens", text.alpha_tokens(F.col("address_matched")))
+    return pairs.join(prepared_inputs, "address_id1").join(reference, "address_id2").where(keep)
 
 
 def best(scored: DataFrame, by: str, n: int) -> DataFrame:
