@@ -5,6 +5,9 @@ All but the Jaro measures are built-in expressions. A null argument makes a null
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,27 +45,42 @@ def iou_min(a: Column, b: Column) -> Column:
     return _ratio(a, b, F.least(_n(F.array_distinct(a)), _n(F.array_distinct(b))))
 
 
+def numbered(c: Column) -> Column:
+    """Each token with the number of its copy, sorted, so that common tokens of two multisets are common ones of two sets."""
+    s = F.array_sort(c)
+    return F.transform(s, lambda x, i: F.concat(x, F.lit("\0"), (F.lit(2) + i - F.array_position(s, x)).cast("string")))
+
+
+def jaccard_of_sets(x: Column, y: Column) -> Column:
+    """Of arrays without copies."""
+    common = _n(F.array_intersect(x, y))
+    every = _n(x) + _n(y) - common
+    return F.when(x.isNull() | y.isNull(), None).when(every == 0, 0.0).otherwise(common / every)
+
+
 def multiset_jaccard(a: Column, b: Column) -> Column:
     """Sum of the lesser counts over the sum of the greater ones."""
-    times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    common = F.aggregate(F.transform(F.array_intersect(a, b), lambda x: F.least(times(a, x), times(b, x))), F.lit(0), lambda s, x: s + x).cast("double")
-    every = _n(a) + _n(b) - common
-    return F.when(a.isNull() | b.isNull(), None).when(every == 0, 0.0).otherwise(common / every)
+    return jaccard_of_sets(numbered(a), numbered(b))
 
 
 def grams(c: Column) -> Column:
-    """The distinct characters and pairs of characters of a string."""
-    n = F.length(c)
-    ones = F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    twos = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.array_union(ones, twos)
+    """The distinct characters and pairs of characters of a string, in a time that grows with its length."""
+    ones = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    n = F.greatest(F.size(ones) - 1, F.lit(0))
+    return F.array_union(ones, F.zip_with(F.slice(ones, F.lit(1), n), F.slice(ones, F.lit(2), n), lambda x, y: F.concat(x, y)))
 
 
 def ngram_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of the distinct characters and pairs of characters."""
-    x, y = grams(a), grams(b)
-    every = _n(F.array_union(x, y))
-    return F.when(a.isNull() | b.isNull(), None).when(every == 0, 0.0).otherwise(_n(F.array_intersect(x, y)) / every)
+    return jaccard_of_sets(grams(a), grams(b))
+
+
+@lru_cache(maxsize=8)
+def _places(text: bytes) -> dict[int, list[int]]:
+    found: dict[int, list[int]] = {}
+    for i, ch in enumerate(text):
+        found.setdefault(ch, []).append(i)
+    return found
 
 
 def jaro_of(a: bytes, b: bytes) -> float:
@@ -71,19 +89,24 @@ def jaro_of(a: bytes, b: bytes) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken, mine = [False] * len(b), []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == ch:
-                taken[j] = True
-                mine.append(ch)
-                break
+    # A byte takes the first free equal one in reach. Reach moves on with the byte, so what is passed is never free again, and
+    # the matches are the same from either side: from the shorter one, a place in the longer one is found by bisection.
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    reach = max(0, len(many) // 2 - 1)
+    where, nexts, mine, theirs = _places(many), {}, [], []
+    for i, ch in enumerate(few):
+        if (at := where.get(ch)) is None:
+            continue
+        k = bisect_left(at, i - reach, nexts.get(ch, 0))
+        if k < len(at) and at[k] <= i + reach:
+            theirs.append(at[k])
+            mine.append(ch)
+            k += 1
+        nexts[ch] = k
     m = len(mine)
     if not m:
         return 0.0
-    theirs = [ch for ch, t in zip(b, taken) if t]
-    crossed = sum(x != y for x, y in zip(mine, theirs)) // 2
+    crossed = sum(x != many[j] for x, j in zip(mine, sorted(theirs))) // 2
     return (m / len(a) + m / len(b) + (m - crossed) / m) / 3
 
 

@@ -222,22 +222,25 @@ def _filtered(how: str):
     return query
 
 
-def _token_pairs(spark, d) -> DataFrame:
-    """Pairs of token arrays and texts: documents' first words against benchmark texts by id."""
-    docs = corpus.read(spark, d, "documents").select("doc_id", F.slice(F.split(F.lower("text"), " "), 1, 40).alias("a"), F.substring("text", 1, 60).alias("x"))
-    other = corpus.read(spark, d, "benchmark").select("item_id", F.slice(F.split(F.lower("text"), " "), 1, 40).alias("b"), F.substring("text", 1, 60).alias("y"))
-    n = other.count()
-    return docs.join(other, F.col("doc_id") % n == F.col("item_id"))
+def _pairs(spark, d, prepared) -> DataFrame:
+    """Every document with every benchmark text, whole; ``prepared`` makes each side's value from its text, once a text."""
+    docs = corpus.read(spark, d, "documents").select("doc_id", prepared(F.col("text")).alias("a"))
+    other = corpus.read(spark, d, "benchmark").select("item_id", prepared(F.col("text")).alias("b"))
+    return docs.crossJoin(F.broadcast(other))
+
+
+def _words(c):
+    return F.split(F.lower(c), " ")
 
 
 TOKEN_PAIRS_SQL = """pairs AS (SELECT doc_id, item_id, string_split(lower(documents.text), ' ')[1:40] AS a, string_split(lower(benchmark.text), ' ')[1:40] AS b, substr(documents.text, 1, 60) AS x, substr(benchmark.text, 1, 60) AS y
 FROM documents JOIN benchmark ON doc_id % (SELECT count(*) FROM benchmark) = item_id)"""
 
 
-def _similar(f, args=("a", "b"), digits=None):
+def _similar(f, prepared=_words, digits=None):
     def query(spark, d):
-        value = f(F.col(args[0]), F.col(args[1]))
-        return _token_pairs(spark, d).select("doc_id", "item_id", (F.round(value, digits) if digits else value).alias("value"))
+        value = f(F.col("a"), F.col("b"))
+        return _pairs(spark, d, prepared).select("doc_id", "item_id", (F.round(value, digits) if digits else value).alias("value"))
 
     return query
 
@@ -320,10 +323,10 @@ QUERIES = {
     "sim_numeric_overlap2": _similar(similarity.numeric_overlap2),
     "sim_iou": _similar(similarity.iou),
     "sim_iou_min": _similar(similarity.iou_min),
-    "sim_multiset_jaccard": _similar(similarity.multiset_jaccard),
-    "sim_ngram_jaccard": _similar(similarity.ngram_jaccard, ("x", "y")),
-    "sim_jaro": _similar(similarity.jaro, ("x", "y"), 6),
-    "sim_jaro_winkler": _similar(similarity.jaro_winkler, ("x", "y"), 6),
+    "sim_multiset_jaccard": _similar(similarity.jaccard_of_sets, lambda c: similarity.numbered(_words(c))),
+    "sim_ngram_jaccard": _similar(similarity.jaccard_of_sets, similarity.grams),
+    "sim_jaro": _similar(similarity.jaro, lambda c: c, 6),
+    "sim_jaro_winkler": _similar(similarity.jaro_winkler, lambda c: c, 6),
     "soundex_codes": lambda s, d: corpus.read(s, d, "documents").select("doc_id", F.array_join(F.transform(text.split_tokens(text.clean_input(F.col("text"))), F.soundex), " ").alias("codes")),
     "match_standard": _matched("standard"),
     "match_standard_topn": _matched("standard", 3),
