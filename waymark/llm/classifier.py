@@ -53,7 +53,7 @@ def features(text: str) -> tuple:
         share(_CAPITALS),
         float(np.log1p(len(raw) / max(1, len(lines)))),
         sum(x.rstrip()[-1:] in b".!?" for x in lines) / max(1, len(lines)),
-        1 - sum(c.isascii() for c in (text[i : i + 1] for i in range(0, len(text), max(1, len(text) // 256)))) / len(range(0, len(text), max(1, len(text) // 256))),
+        1 - len(text.encode("ascii", "ignore")) / len(text),
         float(len(set(words)) / n),
         dup[0] / chars,
         top[0] / chars,
