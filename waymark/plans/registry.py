@@ -312,7 +312,7 @@ QUERIES = {
     "md5_phrase_keys": lambda s, d: ix.phrase_table(_detail(s, d), "standard").select("addr_id", phrases.md5_prefix(F.col("tokenphrase")).alias("k5"), phrases.integer_key(F.col("tokenphrase")).alias("ki")),
     "phrase_inverted_index": lambda s, d: _counted(ix.phrase_table(_detail(s, d), "standard"), "tokenphrase"),
     "skip_inverted_index": lambda s, d: _counted(ix.phrase_table(_detail(s, d), "skipphrase"), "tokenphrase"),
-    "trigram_inverted_index": lambda s, d: _trigram_table(s, d).groupBy("trigramphrase").agg(F.count(F.lit(1)).alias("frequency")),
+    "trigram_inverted_index": lambda s, d: _counted(_trigram_table(s, d), "trigramphrase"),
     "merged_postings": lambda s, d: ix.merge_postings(ix.invert(ix.phrase_table(_detail(s, d), "standard")).select(F.substring("tokenphrase", 1, 4).alias("k"), "addr_ids", "frequency"), "k").select("k", F.array_join(F.array_sort("addr_ids"), ",").alias("addr_ids"), "frequency"),
     "frequency_capped_lookup": lambda s, d: _postings(s, d, "standard", 50),
     "candidate_generation": _candidates,
