@@ -222,27 +222,40 @@ def _filtered(how: str):
     return query
 
 
-def _pairs(spark, d, prepared) -> DataFrame:
-    """Every document with every benchmark text, whole; ``prepared`` makes each side's value from its text, once a text."""
-    docs = corpus.read(spark, d, "documents").select("doc_id", prepared(F.col("text")).alias("a"))
-    other = corpus.read(spark, d, "benchmark").select("item_id", prepared(F.col("text")).alias("b"))
-    return docs.crossJoin(F.broadcast(other))
+def _pairs(spark, d) -> DataFrame:
+    """Every input with the address it was made from, both whole texts: (address_id, addr_id, x, y)."""
+    inputs = corpus.inputs(spark, d).select("address_id", F.col("address").alias("x"))
+    known = corpus.addresses(spark, d).select("addr_id", F.col("ADDRESS_LABEL").alias("y"))
+    return inputs.join(known, F.col("address_id") == F.col("addr_id") + 1)
 
 
 def _words(c):
     return F.split(F.lower(c), " ")
 
 
-TOKEN_PAIRS_SQL = """pairs AS (SELECT doc_id, item_id, string_split(lower(documents.text), ' ')[1:40] AS a, string_split(lower(benchmark.text), ' ')[1:40] AS b, substr(documents.text, 1, 60) AS x, substr(benchmark.text, 1, 60) AS y
-FROM documents JOIN benchmark ON doc_id % (SELECT count(*) FROM benchmark) = item_id)"""
+PAIRS_SQL = f"""{ADDRESSES_SQL},
+{INPUTS_SQL},
+pairs AS (SELECT address_id, addr_id, address AS x, ADDRESS_LABEL AS y, string_split(lower(address), ' ') AS a, string_split(lower(ADDRESS_LABEL), ' ') AS b FROM inputs JOIN addresses ON address_id = addr_id + 1)"""
+
+#: (measure, what is made of each text before, digits) by query.
+SIMILAR = {
+    "sim_list_overlap": (lambda a, b: similarity.list_overlap(a, b, 0.5), _words, None),
+    "sim_numeric_overlap": (similarity.numeric_overlap, _words, None),
+    "sim_numeric_overlap2": (similarity.numeric_overlap2, _words, None),
+    "sim_iou": (similarity.iou, _words, None),
+    "sim_iou_min": (similarity.iou_min, _words, None),
+    "sim_multiset_jaccard": (similarity.multiset_jaccard, _words, None),
+    "sim_ngram_jaccard": (similarity.ngram_jaccard, lambda c: c, None),
+    "sim_jaro": (similarity.jaro, lambda c: c, 6),
+    "sim_jaro_winkler": (similarity.jaro_winkler, lambda c: c, 6),
+}
 
 
-def _similar(f, prepared=_words, digits=None):
-    def query(spark, d):
-        value = f(F.col("a"), F.col("b"))
-        return _pairs(spark, d, prepared).select("doc_id", "item_id", (F.round(value, digits) if digits else value).alias("value"))
-
-    return query
+def similar(name: str, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the measure ``name`` of their texts x and y as value, in place of these."""
+    f, prepared, digits = SIMILAR[name]
+    value = f(prepared(F.col("x")), prepared(F.col("y")))
+    return pairs.withColumn("value", F.round(value, digits) if digits else value).drop("x", "y")
 
 
 def _cascade(spark, d) -> DataFrame:
@@ -318,15 +331,7 @@ QUERIES = {
     "candidate_generation": _candidates,
     "numeric_overlap_filter": _filtered("standard"),
     "all_numerics_filter": _filtered("bigram_contained"),
-    "sim_list_overlap": _similar(lambda a, b: similarity.list_overlap(a, b, 0.05)),
-    "sim_numeric_overlap": _similar(similarity.numeric_overlap),
-    "sim_numeric_overlap2": _similar(similarity.numeric_overlap2),
-    "sim_iou": _similar(similarity.iou),
-    "sim_iou_min": _similar(similarity.iou_min),
-    "sim_multiset_jaccard": _similar(similarity.jaccard_of_sets, lambda c: similarity.numbered(_words(c))),
-    "sim_ngram_jaccard": _similar(similarity.jaccard_of_sets, similarity.grams),
-    "sim_jaro": _similar(similarity.jaro, lambda c: c, 6),
-    "sim_jaro_winkler": _similar(similarity.jaro_winkler, lambda c: c, 6),
+    **{name: lambda s, d, name=name: similar(name, _pairs(s, d)) for name in SIMILAR},
     "soundex_codes": lambda s, d: corpus.read(s, d, "documents").select("doc_id", F.array_join(F.transform(text.split_tokens(text.clean_input(F.col("text"))), F.soundex), " ").alias("codes")),
     "match_standard": _matched("standard"),
     "match_standard_topn": _matched("standard", 3),
@@ -362,7 +367,7 @@ def _token_sql(f) -> str:
 
 
 def _pair_sql(value: str) -> str:
-    return f"WITH {TOKEN_PAIRS_SQL} SELECT doc_id, item_id, {value} AS value FROM pairs"
+    return f"WITH {PAIRS_SQL} SELECT address_id, addr_id, {value} AS value FROM pairs"
 
 
 _KEEP2 = _list_overlap("a", "b", 0.2)
@@ -414,13 +419,13 @@ SELECT DISTINCT address_id1, key FROM (SELECT address_id1, unnest(flatten(list_t
     "md5_phrase_keys": f"WITH {PHRASES_SQL['standard']} SELECT addr_id, md5(k)[1:5] AS k5, CAST('0x' || md5(k)[1:7] AS INTEGER) AS ki FROM phrase",
     "phrase_inverted_index": f"WITH {PHRASES_SQL['standard']} SELECT k AS tokenphrase, array_to_string(list_sort(array_agg(addr_id)), ',') AS addr_ids, count(*) AS frequency FROM phrase GROUP BY k",
     "skip_inverted_index": f"WITH {PHRASES_SQL['skipphrase']} SELECT k AS tokenphrase, array_to_string(list_sort(array_agg(addr_id)), ',') AS addr_ids, count(*) AS frequency FROM phrase GROUP BY k",
-    "trigram_inverted_index": f"WITH {PHRASES_SQL['trigram']} SELECT k AS trigramphrase, count(*) AS frequency FROM phrase GROUP BY k",
+    "trigram_inverted_index": f"WITH {PHRASES_SQL['trigram']} SELECT k AS trigramphrase, array_to_string(list_sort(array_agg(addr_id)), ',') AS addr_ids, count(*) AS frequency FROM phrase GROUP BY k",
     "merged_postings": f"WITH {PHRASES_SQL['standard']} SELECT substr(k, 1, 4) AS k, array_to_string(list_sort(array_agg(addr_id)), ',') AS addr_ids, count(*) AS frequency FROM phrase GROUP BY substr(k, 1, 4)",
     "frequency_capped_lookup": f"WITH {PHRASES_SQL['standard']} SELECT k AS key, addr_id FROM phrase WHERE k IN (SELECT k FROM phrase GROUP BY k HAVING count(*) < 50)",
     "candidate_generation": _candidate_sql("standard", _clean_input, _numerics_input, 1000),
     "numeric_overlap_filter": _candidate_sql("standard", _clean_input, _numerics_input, 1000, _KEEP2),
     "all_numerics_filter": _candidate_sql("bigram", _clean_unicode, _LEGACY_NUMERICS, 1000, _CONTAINED),
-    "sim_list_overlap": _pair_sql(_list_overlap("a", "b", 0.05)),
+    "sim_list_overlap": _pair_sql(_list_overlap("a", "b", 0.5)),
     "sim_numeric_overlap": _pair_sql(_overlap("a", "b")),
     "sim_numeric_overlap2": _pair_sql(_iou("a", "b")),
     "sim_iou": _pair_sql(_iou("a", "b")),
