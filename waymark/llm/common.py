@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,7 +15,7 @@ SPACES = b" \t\n\r\x0b\x0c"
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
-_ROLL = np.uint64(0xD6E8FEB86659FD93)
+ROLL = np.uint64(0xD6E8FEB86659FD93)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,18 +28,20 @@ def python_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see (spark.checkpoint.dir); one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "waymark-shared")
-    return folder.rstrip("/")
+    """The folder all executors see (spark.checkpoint.dir); the warehouse only where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here, and lost executors lose nothing."""
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here, and lost executors lose nothing.
+
+    The table stays until :func:`discard`; those that a result still reads go when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/waymark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -75,7 +75,7 @@ def rolling(hashes: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndar
         return np.zeros(0, np.uint64)
     out = hashes[:m].copy() if at is None else hashes[at]
     for k in range(1, n):
-        out *= _ROLL
+        out *= ROLL
         out += hashes[k : k + m] if at is None else hashes[at + k]
     return mix(out)
 
@@ -148,3 +148,21 @@ def in_bitmap(filter_bits: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndar
     """Whether each hash may be among those of :func:`bitmap`; never false for one that is."""
     at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     return (filter_bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+#: A filter has eight bits or more for each thing in it, and at most so many as a power of 2 (32 MB).
+MOST_BITS = 28
+
+
+def filter_of(df: DataFrame, key: str, rows: int | None = None) -> tuple[np.ndarray, int]:
+    """A bit filter of the hashes in ``key`` that grows with the number of rows, and its bits as a power of 2. False hits grow beyond the bound.
+
+    ``df`` is a written table, or ``rows`` is at least its number of rows.
+    """
+    bits = min(MOST_BITS, max(12, (8 * (df.count() if rows is None else rows)).bit_length()))
+    return bitmap(df, key, bits), bits
+
+
+def may_hold(held: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the filter; never false for one that is."""
+    return in_bitmap(held[0], hashes.view(np.uint64), held[1])
