@@ -167,10 +167,27 @@ def tensor_type() -> pa.DataType:
     return pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS), dim_names=("frame", "mel"))
 
 
-def as_tensors(values: pa.Array) -> pa.Array:
-    """The blocks of :func:`feature_blocks` as an Arrow array of fixed-shape tensors (null for null)."""
-    flat = pa.FixedSizeListArray.from_arrays(values.flatten().cast(pa.float32()), BLOCK * MELS)
-    return pa.ExtensionArray.from_storage(tensor_type(), flat)
+def _file_schema() -> pa.Schema:
+    return pa.schema([("begin_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", tensor_type())])
+
+
+def to_tensors(f: Features) -> bytes:
+    """An Arrow stream of a media file's blocks: begin_s, end_s and a fixed-shape tensor of log-mel frames."""
+    begin, end, blocks = zip(*f.blocks())
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(blocks)), BLOCK * MELS)
+    schema, sink = _file_schema(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.record_batch([pa.array(begin), pa.array(end), pa.ExtensionArray.from_storage(tensor_type(), flat)], schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def from_tensors(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(spans, tensors) of :func:`to_tensors`: an array of begin and end, and one of (blocks, BLOCK, MELS)."""
+    table = pa.ipc.open_stream(stored).read_all()
+    if table.schema != _file_schema():
+        raise ValueError("not log-mel blocks")
+    spans = np.stack([table["begin_s"].to_numpy(), table["end_s"].to_numpy()], axis=1)
+    return spans, table["log_mel"].combine_chunks().to_numpy_ndarray()
 
 
 def to_media(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -197,8 +214,17 @@ def map_media(df: DataFrame, media: str, id_col: str, fields: str, make) -> Data
     return df.select(id_col, media).mapInArrow(run, kind)
 
 
+def feature_files(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFrame:
+    """``id_col`` and tensors, the Arrow stream of :func:`to_tensors`, of each row with media."""
+    return map_media(df, media, id_col, "tensors binary", _files)
+
+
+def _files():
+    return lambda m: [(to_tensors(Features(m)),)]
+
+
 def feature_blocks(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, begin_s, end_s and log_mel (``BLOCK * MELS`` values) of each block; rows without media give none."""
+    """``id_col``, begin_s, end_s and log_mel (``BLOCK * MELS`` values) of each block, for queries; rows without media give none."""
     return map_media(df, media, id_col, "begin_s double, end_s double, log_mel array<float>", _blocks)
 
 
@@ -215,19 +241,19 @@ def _spans():
     return lambda m: Features(m).spans
 
 
-DIGESTS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tensor_sha256 string"
+DIGESTS = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_blocks bigint, tensor_sha256 string, active_s double"
 
 
 def digests(text: str) -> tuple:
-    """Stores a text's payload, reads it back, and sums up what came back and its features."""
+    """Stores a text's payload and its features, reads both back, and sums up what came back."""
     media = to_wav(payload(text))
     f = Features(media)
     back = f.samples
-    tensors = hashlib.sha256()
-    for begin, end, block in f.blocks():
-        tensors.update(np.round(block, 1).astype("<f4") + np.float32(0))
+    spans, tensors = from_tensors(to_tensors(f))
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    return len(text.encode()), len(back), sha(back), zlib.crc32(back[-16:]), len(media), sha(media), f.summary(), tensors.hexdigest()
+    stored = np.round(spans, 6).tobytes() + (np.round(tensors, 1) + np.float32(0)).tobytes()
+    active = round(sum(end - begin for begin, end in f.spans), 6)
+    return len(text.encode()), len(back), sha(back), zlib.crc32(back[-16:]), len(media), sha(media), f.summary(), len(spans), sha(stored), active
 
 
 def _digests():
