@@ -1,15 +1,20 @@
 """License scans with a positional index of rare licence words, in DataFrame functions only.
 
 Words are runs of ASCII letters and digits and of all other characters beyond ASCII; A-Z are in lower case. A
-template is a phrase with a label. The words that may stand for a template, its keys, are those that aren't
-common in prose. One pass over the texts finds each key with its position and the words around it. From
-these, the document frequency of every key over all documents gives the rarest key of each template: the
-index is a map from these keys to postings of template and position in it. Each file's keys of the index are then looked up, a
-posting gives the start the template would have, and its words there are compared: all of them make a
-place and a label, and the largest share of words that agree is the score.
+template is a phrase or a passage of a licence, with a label, and for a passage the key phrases that it can't do without.
 
-Every place of a phrase holds its rarest key, so no place is missed; templates without a rare word would not be allowed. The index
-is as large as the templates. Nothing is shuffled but the counts of keys.
+1. The document frequency of every word of the templates is counted over all documents. A template's keys are its ``KEYS`` words of
+   the highest inverse document frequency, those aside whose frequency's logarithm is less than half of its rarest word's. The
+   index has the postings of all keys: template and places in it.
+2. Of each file, the keys it has are looked up, for each template the ``LOOKED`` rarest of them. Each posting gives the start that the
+   template would have; starts on which ``AGREE`` keys agree (one, if the template has no more) are candidates.
+3. A candidate's words are compared with the template's, place by place. The share of equal ones is its coverage, its key phrases
+   have to stand at their places in whole. A phrase must be covered in whole to give its label, a passage to ``COVERED``. The
+   greatest coverage of a candidate with its key phrases is the score.
+
+Every whole place of a phrase has all its keys, so none is missed. A passage is found while of the keys that its file has two stand where they should; a start
+before the file's first word is allowed, so a passage that lost its head counts with what is left. Index and templates have a fixed size, frequencies one
+row for each of their words; nothing else is shuffled, and no candidates are capped.
 
 Cases: a null or empty text has no words; repeated rows get equal results; ties between keys go to the first word in the
 template; a very long text makes an array of its words; an empty table gives an empty one; other columns are ignored.
@@ -17,12 +22,10 @@ template; a very long text makes an array of its words; an empty table gives an
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut, documents
+from waymark.llm.common import documents
 
 #: What separates words, before A-Z are in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,95 +55,164 @@ MORE = [
     ("permission to use copy modify and or distribute this software", "isc"),
     ("redistribution and use in source and binary forms", "bsd"),
 ]
-#: Words of templates that are too common to look up.
-COMMON = frozenset("a all and by charge copy for free in is of or sa software source the this to use 0 1".split())
+#: (passage, label, key phrases) of licence texts and the notices that they ask for, in words as above.
+PASSAGES = [
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "mit",
+        ["permission is hereby granted free of charge", "deal in the software without restriction"],
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer",
+        "bsd",
+        ["redistribution and use in source and binary forms", "following conditions are met"],
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "apache-2.0",
+        ["apache license version 2 0"],
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version",
+        "gpl-notice",
+        ["free software", "terms of the gnu general public license"],
+    ),
+    (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version",
+        "lgpl-notice",
+        ["free software", "gnu lesser general public license"],
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        "mpl-2.0",
+        ["mozilla public license v 2 0"],
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "isc",
+        ["with or without fee", "this permission notice appear in all copies"],
+    ),
+    (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+        "unlicense",
+        ["unencumbered software released into the public domain"],
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "zlib",
+        ["as is without any express or implied warranty"],
+    ),
+    (
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        "cc-by-4.0",
+        ["creative commons attribution 4 0"],
+    ),
+]
+KEYS, LOOKED, AGREE, COVERED = 8, 4, 2, 0.8
 
 FIELDS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-def _templates(base, more):
-    return [(phrase.split(), label, kind) for kind, group in ((True, base), (False, more)) for phrase, label in group]
+class Template:
+    """Words with a label; ``must`` has (first word, words) of each key phrase."""
+
+    def __init__(self, phrase: str, label: str, base: bool = False, must=(), covered: float = 1.0):
+        self.words, self.label, self.base, self.covered = phrase.split(), label, base, covered
+        self.must = [next((i, len(w)) for i in range(len(self.words)) if self.words[i : i + len(w)] == w) for w in map(str.split, must)]
+
+    def keys(self, df: dict[str, int], n: int) -> list[str]:
+        """Rarest first, given document frequencies of ``n`` documents."""
+        words = sorted(dict.fromkeys(self.words), key=lambda w: (df.get(w, 0), self.words.index(w)))[:KEYS]
+        # log((n + 1) / (f + 1)) is half of the rarest word's at least.
+        return [w for w in words if (n + 1) * (df.get(words[0], 0) + 1) >= (df.get(w, 0) + 1) ** 2] or words[:1]
+
+
+def templates(base=BASE, more=MORE, passages=PASSAGES) -> list[Template]:
+    return [*(Template(*t, base=True) for t in base), *(Template(*t) for t in more), *(Template(p, label, must=must, covered=COVERED) for p, label, must in passages)]
 
 
 def _lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def keyed(df: DataFrame, text: str, id_col: str, templates) -> DataFrame:
-    """(id, n_words, hits) of each row: hits are structs of pos, word, and before and after, the words around it."""
-    keys = sorted({w for words, _, _ in templates for w in words} - COMMON)
-    reach = max(len(words) for words, _, _ in templates) - 1
+def _words(df: DataFrame, text: str, id_col: str, wanted: list[str]) -> DataFrame:
+    """(id, w, lead, n_words, hits): the words with ``lead`` empty ones before them, and structs (pos, word) of ``wanted`` ones."""
     split = df.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS).alias("w"))
     lead = F.when(F.get("w", F.lit(0)) == "", 1).otherwise(0)
     trail = F.when((F.size("w") > 1) & (F.get("w", F.size("w") - 1) == ""), 1).otherwise(0)
+    split = split.select("*", lead.alias("lead"), (F.size("w") - lead - trail).cast("bigint").alias("n_words"))
     # lower() may map other characters to ASCII ones, so it only sorts out most words before the exact test.
-    found = F.transform("w", lambda x, i: F.when(F.lower(x).isin(keys) & _lower(x).isin(keys), i))
-    at = split.withColumn("at", F.array_compact(found))
-
-    def hit(i):
-        first = F.greatest(i - reach, lead)
-        return F.struct(
-            (i - lead).alias("pos"),
-            _lower(F.get("w", i)).alias("word"),
-            F.transform(F.slice("w", first + 1, i - first), _lower).alias("before"),
-            F.transform(F.slice("w", i + 1, F.lit(reach + 1)), _lower).alias("after"),
-        )
-
-    return at.select("id", (F.size("w") - lead - trail).cast("bigint").alias("n_words"), F.transform("at", hit).alias("hits"))
-
-
-def rarest_keys(hits: DataFrame, templates) -> list[str]:
-    """The key of each template with the highest inverse document frequency over all rows; the driver gets a row per key."""
-    counted = hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").count().collect()
-    df = {r["word"]: r["count"] for r in counted}
-    n = hits.count()
-    idf = lambda w: math.log((n + 1) / (df.get(w, 0) + 1))
-    out = []
-    for words, label, _ in templates:
-        keys = [w for w in words if w not in COMMON]
-        if not keys:
-            raise ValueError(f"template {label!r} has no rare word")
-        out.append(max(keys, key=lambda w: (idf(w), -words.index(w))))
-    return out
-
-
-def scan(df: DataFrame, text: str = "text", id_col: str = "doc_id", base=BASE, more=MORE) -> DataFrame:
-    """``id_col``, n_words, n_base, first_word, last_word, base_labels, labels, score, and places (label, start, n, base) of each row."""
-    templates = _templates(base, more)
-    hits = cut(keyed(df, text, id_col, templates), "licences")
-    postings: dict[str, list] = {}
-    for (words, label, is_base), key in zip(templates, rarest_keys(hits, templates)):
-        for rel in (i for i, w in enumerate(words) if w == key):
-            postings.setdefault(key, []).append((words, label, is_base, rel))
-    posting = lambda p: F.struct(F.array(*map(F.lit, p[0])).alias("words"), F.lit(p[1]).alias("label"), F.lit(p[2]).alias("base"), F.lit(p[3]).alias("rel"))
-    index = F.create_map(*[x for key, ps in sorted(postings.items()) for x in (F.lit(key), F.array(*map(posting, ps)))])
-
-    def candidate(h, p):
-        """Of a posting at a hit: where the template would begin, and how many of its words agree."""
-        head = F.size(h["before"])
-        around = F.concat(h["before"], h["after"])
-        here = F.slice(around, F.greatest(head - p["rel"], F.lit(0)) + 1, F.size(p["words"]))
-        same = F.when(head >= p["rel"], F.size(F.filter(F.zip_with(here, p["words"], lambda a, b: a.eqNullSafe(b)), lambda x: x))).otherwise(0)
-        return F.struct(p["label"].alias("label"), (h["pos"] - p["rel"]).alias("start"), F.size(p["words"]).alias("n"), p["base"].alias("base"), (same / F.size(p["words"])).alias("share"))
-
-    looked = hits.withColumn(
-        "found",
-        F.flatten(F.transform("hits", lambda h: F.transform(F.coalesce(F.try_element_at(index, h["word"]), F.array().cast("array<struct<words:array<string>,label:string,base:boolean,rel:int>>")), lambda p: candidate(h, p)))),
+    hit = lambda x, i: F.when(F.lower(x).isin(wanted) & _lower(x).isin(wanted), F.struct((i - F.col("lead")).alias("pos"), _lower(x).alias("word")))
+    return split.withColumn("hits", F.array_compact(F.transform("w", hit)))
+
+
+def frequencies(df: DataFrame, text: str, id_col: str, found: list[Template]) -> tuple[dict[str, int], int]:
+    """The document frequency of each word of the templates, and the number of documents; the driver gets a row per word."""
+    words = _words(df, text, id_col, sorted({w for t in found for w in t.words}))
+    each = F.concat(F.array(F.lit("")), F.array_distinct(F.transform("hits", lambda h: h["word"])))  # the empty word stands for every document
+    counted = {r["word"]: r["count"] for r in words.select(F.explode(each).alias("word")).groupBy("word").count().collect()}
+    return counted, counted.pop("", 0)
+
+
+def _literal(t: Template, keys: list[str]) -> Column:
+    strings = lambda v: F.array(*map(F.lit, v))
+    posting = lambda k: F.struct(F.lit(k).alias("word"), F.array(*(F.lit(i) for i, w in enumerate(t.words) if w == k)).alias("rel"))
+    must = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(n).alias("n")) for i, n in t.must)) if t.must else F.array().cast("array<struct<at:int,n:int>>")
+    return F.struct(
+        F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), strings(t.words).alias("words"), strings(keys).alias("keys"), F.array(*map(posting, keys)).alias("postings"),
+        F.lit(min(AGREE, len(keys))).alias("agree"), must.alias("must"), F.lit(float(t.covered)).alias("covered"),
     )
-    placed = looked.withColumn("places", F.array_distinct(F.filter("found", lambda f: f["share"] == 1)))
-    based = placed.withColumn("base_places", F.filter("places", lambda p: p["base"]))
+
+
+def scan(df: DataFrame, text: str = "text", id_col: str = "doc_id", found: list[Template] | None = None) -> DataFrame:
+    """``id_col``, n_words, n_base, first_word, last_word, base_labels, labels, score, and places (label, start, n, base, share) of each row."""
+    found = found or templates()
+    counted, n = frequencies(df, text, id_col, found)
+    keys = [t.keys(counted, n) for t in found]
+    index = F.array(*map(_literal, found, keys))
+    words = _words(df, text, id_col, sorted({k for ks in keys for k in ks}))
+    present = words.withColumn("present", F.array_distinct(F.transform("hits", lambda h: h["word"])))
+    at = F.map_from_entries(F.transform("present", lambda k: F.struct(k, F.transform(F.filter("hits", lambda h: h["word"] == k), lambda h: h["pos"]))))
+    # Templates with enough keys in the file, and where their postings say that they begin.
+    known = F.filter(index, lambda t: F.size(F.array_intersect(t["keys"], F.col("present"))) >= t["agree"])
+
+    def starts(t, at):
+        looked = F.slice(F.filter(t["postings"], lambda p: F.array_contains("present", p["word"])), 1, LOOKED)
+        of = lambda p: F.array_distinct(F.flatten(F.transform(F.element_at(at, p["word"]), lambda i: F.transform(p["rel"], lambda r: i - r))))
+        return F.array_sort(F.flatten(F.transform(looked, of)))
+
+    def once(value, f):
+        """``f`` of a value that is computed once, though ``f`` names it in loops."""
+        return F.transform(F.array(value), f)[0]
+
+    def agreed(t, at):
+        """Each key has a start once, so as many equal ones as keys agree on it."""
+        return once(starts(t, at), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.get(s, i + t["agree"] - 1) == x)))
+
+    def compared(t, start):
+        first = start + F.col("lead")
+        same = F.zip_with(t["words"], F.sequence(F.lit(0), F.size(t["words"]) - 1), lambda x, j: F.coalesce(_lower(F.get("w", first + j)) == x, F.lit(False)))
+        whole = F.forall(t["must"], lambda m: F.size(F.filter(F.slice(same, m["at"] + 1, m["n"]), lambda x: x)) == m["n"])
+        share = F.size(F.filter(same, lambda x: x)) / F.size(t["words"])
+        return F.struct(t["label"].alias("label"), start.alias("start"), F.size(t["words"]).alias("n"), t["base"].alias("base"), t["covered"].alias("covered"), F.when(whole, share).otherwise(0.0).alias("share"))
+
+    candidates = once(at, lambda m: F.flatten(F.transform(known, lambda t: F.transform(agreed(t, m), lambda s: compared(t, s)))))
+    looked = present.withColumn("found", candidates)
+    placed = looked.withColumn("places", F.filter("found", lambda f: f["share"] >= f["covered"])).withColumn("base_places", F.filter("places", lambda p: p["base"]))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
-    starts = F.transform("base_places", lambda p: p["start"])
-    return based.select(
+    begins = F.transform("base_places", lambda p: p["start"])
+    return placed.select(
         F.col("id").alias(id_col),
         "n_words",
         F.size("base_places").cast("bigint").alias("n_base"),
-        F.array_min(starts).cast("bigint").alias("first_word"),
-        F.array_max(starts).cast("bigint").alias("last_word"),
+        F.array_min(begins).cast("bigint").alias("first_word"),
+        F.array_max(begins).cast("bigint").alias("last_word"),
         joined("base_places").alias("base_labels"),
         joined("places").alias("labels"),
         F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0)).alias("score"),
-        F.transform("places", lambda p: F.struct(p["label"].alias("label"), p["start"].alias("start"), p["n"].alias("n"), p["base"].alias("base"))).alias("places"),
+        F.transform("places", lambda p: p.dropFields("covered")).alias("places"),
     )
 
 
@@ -153,17 +225,24 @@ QUERIES = {"op7_license": op7_license}
 
 def _sql() -> str:
     quoted = lambda words: ", ".join(f"'{w}'" for w in words)
-    rows = ", ".join(f"({i}, [{quoted(words)}], '{label}', {str(is_base).lower()})" for i, (words, label, is_base) in enumerate(_templates(BASE, MORE)))
+    must = lambda t: ", ".join(f"{{'first': {i}, 'n': {n}}}" for i, n in t.must)
+    row = lambda i, t: f"({i}, [{quoted(t.words)}], '{t.label}', {str(t.base).lower()}, [{must(t)}]::STRUCT(first INT, n INT)[], {t.covered}::DOUBLE)"
+    rows = ",\n".join(row(i, t) for i, t in enumerate(templates()))
     return rf"""
-WITH tpl AS (SELECT * FROM (VALUES {rows}) t(id, words, label, base)),
+WITH tpl AS (SELECT * FROM (VALUES {rows}) t(id, words, label, base, must, covered)),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
-keys AS (SELECT id, words, unnest(words) AS k FROM tpl),
-hits AS (SELECT r, w, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT k FROM keys WHERE k NOT IN ({quoted(sorted(COMMON))}))),
+vocabulary AS (SELECT id, word, min(j) AS first FROM (SELECT id, unnest(words) AS word, unnest(range(0, len(words))) AS j FROM tpl) GROUP BY id, word),
+hits AS (SELECT r, i, w[i + 1] AS word FROM (SELECT r, w, unnest(range(0, len(w))) AS i FROM d) WHERE w[i + 1] IN (SELECT word FROM vocabulary)),
 df AS (SELECT word, count(DISTINCT r) AS n FROM hits GROUP BY word),
-best AS (SELECT id, k FROM (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY coalesce(n, 0), list_position(words, k)) AS o FROM keys LEFT JOIN df ON word = k WHERE k NOT IN ({quoted(sorted(COMMON))})) WHERE o = 1),
-post AS (SELECT id, words, label, base, k, rel FROM (SELECT tpl.*, k, unnest(range(1, len(words) + 1)) AS rel FROM tpl JOIN best USING (id)) WHERE words[rel] = k),
-found AS (SELECT r, label, base, i - rel AS start, len(words) AS n, CASE WHEN i >= rel THEN len(list_filter(range(1, len(words) + 1), lambda j: coalesce(w[i - rel + j] = words[j], false)))::DOUBLE / len(words) ELSE 0 END AS share FROM hits JOIN post ON word = k),
-places AS (SELECT DISTINCT r, label, base, start, n FROM found WHERE share = 1),
+ranked AS (SELECT id, word, f, first, row_number() OVER (PARTITION BY id ORDER BY f, first) AS o, min(f) OVER (PARTITION BY id) AS least FROM (SELECT id, word, first, coalesce(n, 0) AS f FROM vocabulary LEFT JOIN df USING (word))),
+keys AS (SELECT id, word, o, count(*) OVER (PARTITION BY id) AS n_keys FROM ranked WHERE o <= {KEYS} AND (o = 1 OR (SELECT count(*) + 1 FROM d)::HUGEINT * (least + 1) >= (f + 1)::HUGEINT * (f + 1))),
+post AS (SELECT id, word, o, n_keys, j FROM keys JOIN (SELECT id, unnest(words) AS word, unnest(range(0, len(words))) AS j FROM tpl) USING (id, word)),
+looked AS (SELECT r, id, word FROM (SELECT r, id, word, row_number() OVER (PARTITION BY r, id ORDER BY o) AS p FROM (SELECT DISTINCT r, word FROM hits) JOIN keys USING (word)) WHERE p <= {LOOKED}),
+starts AS (SELECT DISTINCT r, id, word, n_keys, i - j AS start FROM hits JOIN looked USING (r, word) JOIN post USING (id, word)),
+cand AS (SELECT r, id, start FROM starts GROUP BY r, id, start, n_keys HAVING count(*) >= least({AGREE}, n_keys)),
+same AS (SELECT r, label, base, start, must, covered, list_transform(range(1, len(words) + 1), lambda j: CASE WHEN start + j < 1 THEN false ELSE coalesce(w[start + j] = words[j], false) END) AS s FROM cand JOIN tpl USING (id) JOIN d USING (r)),
+found AS (SELECT r, label, base, start, covered, CASE WHEN len(list_filter(must, lambda m: len(list_filter(s[m.first + 1:m.first + m.n], lambda x: x)) < m.n)) = 0 THEN len(list_filter(s, lambda x: x))::DOUBLE / len(s) ELSE 0 END AS share FROM same),
+places AS (SELECT * FROM found WHERE share >= covered),
 based AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM places WHERE base GROUP BY r),
 named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels FROM places GROUP BY r),
 scored AS (SELECT r, max(share) AS score FROM found GROUP BY r)
