@@ -1,13 +1,15 @@
 """Token counts by a unigram model over pieces, with work shared among pre-tokens that begin alike.
 
-A text's pre-tokens are its words between ASCII white space, each with the mark of a word's begin before it. A
-segmentation's score is the sum of its pieces' scores in a SentencePiece model file; a character that no piece
+A text's pre-tokens are its words between ASCII white space, each with the mark of a word's begin before it. The pieces are those of a
+SentencePiece model file but for pure white space, which no pre-token has. The file is of a BPE model, whose scores are
+ranks by frequency, so a piece of rank r gets the log probability of Zipf's law, ``-log(r) - log(sum of 1 / r)``. A
+segmentation's score is the sum of its pieces' log probabilities; a character that no piece
 covers is spelled in byte pieces, at ``UNKNOWN`` below the least score for each character. The count of the best
 segmentation counts; of equally good ones, the one with the fewest tokens.
 
-The distinct pre-tokens of a batch that the task doesn't know yet are gone through in the order of a trie: the forward scores of
-a prefix are computed once for all pre-tokens below it, and each terminal stores its count. Counts are kept
-in a bounded cache, so a task computes most of a common vocabulary once.
+Distinct pre-tokens that a task doesn't know yet are inserted in a trie. A node has the forward score of its prefix and the number of tokens of
+the best segmentation, computed once, when the node is made, from the nodes on its path; the node at which a pre-token ends is a terminal, whose count
+is stored. Trie and stored counts are bounded; when they are full a task begins anew, which costs work only.
 
 Cases: null and empty texts have no tokens; white space has none; repeated rows get equal counts; ties are settled as said;
 an empty table gives an empty one; a very long text is held once, and a very long word takes time
@@ -16,6 +18,7 @@ in proportion to its length times the longest piece; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +27,8 @@ from waymark.llm.common import documents, python_batches, record, schemas, texts
 
 BEGIN = "▁"
 UNKNOWN = 10.0
-CACHE = 700_000
+#: Counts that a task stores, and nodes of its trie.
+CACHE, NODES = 600_000, 400_000
 
 
 def default_model() -> str:
@@ -34,52 +38,59 @@ def default_model() -> str:
 
 
 class Pieces:
-    """Scores of a model's pieces and the counts of pre-tokens."""
+    """Log probabilities of a model's pieces, and the trie of pre-tokens."""
 
     def __init__(self, path: str | None = None):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path or default_model())
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
+        plain = [i for i in plain if model.id_to_piece(i) == BEGIN or model.id_to_piece(i).strip(BEGIN)]
+        plain.sort(key=model.get_score, reverse=True)
+        total = math.log(math.fsum(1 / r for r in range(1, len(plain) + 1)))
+        self.score = {model.id_to_piece(i): -math.log(r) - total for r, i in enumerate(plain, 1)}
         self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - UNKNOWN
-        self.lengths = sorted({len(p) for p in self.score})
-        self.cache: dict[bytes, int] = {}
-
-    def counts(self, words: list[str]) -> list[int]:
-        """The token count of each pre-token (without its mark); ``words`` are in order and distinct."""
-        score, unknown, longest = self.score, self.unknown, self.longest
-        out = []
-        # The path in the trie from the root to the last terminal: best score and count up to each depth.
-        best, count, path = [0.0], [0], ""
-        for word in words:
-            token = BEGIN + word
-            shared, most = 0, min(len(path), len(token))
-            while shared < most and path[shared] == token[shared]:
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(token) + 1):
-                char = token[end - 1]
-                s = score.get(char)
+        self.terminals: dict[bytes, int] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        #: By node: forward score and tokens of its prefix. Node 0 is the empty prefix.
+        self.best, self.count = [0.0], [0]
+        #: (node, next character) as one number to the node that follows.
+        self.child: dict[int, int] = {}
+
+    def insert(self, word: str) -> int:
+        """The node of a pre-token (without its mark), made with those before it where they are missing."""
+        token = BEGIN + word
+        child, best, count, score, longest = self.child, self.best, self.count, self.score, self.longest
+        path = [0]
+        for end, char in enumerate(token, 1):
+            edge = path[-1] << 21 | ord(char)
+            node = child.get(edge)
+            if node is None:
+                s, last = score.get(char), path[-1]
                 # A character without a piece costs as many tokens as it has bytes.
-                top, n = (best[-1] + s, count[-1] + 1) if s is not None else (best[-1] + unknown, count[-1] + len(char.encode("utf-8", "surrogatepass")))
+                top, n = (best[last] + s, count[last] + 1) if s is not None else (best[last] + self.unknown, count[last] + len(char.encode("utf-8", "surrogatepass")))
                 for begin in range(end - 2, max(0, end - longest) - 1, -1):
                     s = score.get(token[begin:end])
                     if s is not None:
-                        t = best[begin] + s
-                        if t > top or t == top and count[begin] + 1 < n:
-                            top, n = t, count[begin] + 1
+                        before = path[begin]
+                        t = best[before] + s
+                        if t > top or t == top and count[before] + 1 < n:
+                            top, n = t, count[before] + 1
+                node = child[edge] = len(best)
                 best.append(top)
                 count.append(n)
-            path = token
-            out.append(count[-1])
-        return out
+            path.append(node)
+        return path[-1]
 
     def learn(self, words: set[bytes]) -> None:
-        """Stores the counts of pre-tokens."""
-        new = sorted(w.decode() for w in words)
-        self.cache.update(zip((w.encode() for w in new), self.counts(new)))
+        """Inserts pre-tokens and stores the counts of their terminals."""
+        for w in sorted(words):
+            if len(self.best) > NODES:
+                self._clear()
+            self.terminals[w] = self.count[self.insert(w.decode())]
 
 
 @lru_cache(maxsize=2)
@@ -96,13 +107,13 @@ def count_tokens(df: DataFrame, text: str = "text", id_col: str = "doc_id", mode
         own = pieces(model)
         for batch in batches:
             split = [t.encode().split() for t in texts(batch.column(1))]
-            if len(own.cache) > CACHE:
-                own.cache.clear()
-            cache = own.cache
-            new = {w for words in split for w in words if w not in cache}
+            if len(own.terminals) > CACHE:
+                own.terminals.clear()
+            known = own.terminals
+            new = {w for words in split for w in words if w not in known}
             if new:
                 own.learn(new)
-            get = cache.__getitem__
+            get = known.__getitem__
             rows = []
             for words in split:
                 n = list(map(get, words))
