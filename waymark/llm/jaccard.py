@@ -12,8 +12,10 @@ with the whole sets.
 A group of m near copies has m * m / 2 links; components need a few of them. So all pairs of an n-gram's list are
 candidates only if it is short; of longer lists neighbours are verified first, in several orders. Pairs inside a component that
 these links make need no verification, as they can't change the components, and in the end only pairs of different components are joined. No list, pair or
-candidate is capped. Very frequent n-grams (by the sketch) are salted over several tasks in the first step;
-the joins can be split by adaptive execution.
+candidate is capped. Very frequent n-grams (by the sketch) are salted over several tasks in the first step, and in the
+orders after it a list is dealt to groups of about ``DEALT`` rows by hash;
+the joins can be split by adaptive execution. The filters of wanted documents grow with what they hold up to a bound; they save work
+and have no effect on results.
 
 Hashes have 64 bits; a class is identified by the sum of its hashes and its size.
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import bitmap, cut, discard, documents, in_bitmap, mix, python_batches, record, rolling, schemas, texts, word_hashes
+from waymark.llm.common import cut, discard, documents, filter_of, may_hold, mix, python_batches, record, rolling, schemas, texts, word_hashes
 from waymark.llm.graph import components
 
 N, PERCENT = 5, 75
@@ -47,8 +49,8 @@ PIECE = 1 << 21
 SHORT = 8
 #: Orders of longer lists in which neighbours are candidates, after the first, and how near neighbours are.
 ORDERS, NEAR = 2, 3
-#: Bits of the filter of wanted documents, which saves work on others; it has no effect on results.
-WANTED_BITS = 23
+#: Rows of a long list that an order goes through in one group; longer lists are dealt to several.
+DEALT = 256
 #: Classes that a task remembers as seen, to send each once; forgetting costs rows, not results.
 SEEN = 200_000
 
@@ -255,13 +257,13 @@ def _sets(df: DataFrame, text: str, id_col: str, n: int, classes: DataFrame, pai
     """(n, sig, wide, hashes) of the classes in ``pairs``, and perhaps of others."""
     ends = pairs.select("a.*").union(pairs.select("b.*")).distinct()
     keys = ends.join(classes.select("n", "sig", "id"), ["n", "sig"]).select(F.xxhash64("id").alias("key"))
-    wanted = df.sparkSession.sparkContext.broadcast(bitmap(keys, "key", WANTED_BITS))
+    wanted = df.sparkSession.sparkContext.broadcast(filter_of(keys, "key", 2 * pairs.count()))
     kind, arrow = schemas("n int, sig bigint, wide binary, hashes binary")
 
     def run(batches):
-        bits, seen = wanted.value, set()
+        held, seen = wanted.value, set()
         for batch in batches:
-            hit = in_bitmap(bits, batch.column(0).to_numpy().view(np.uint64), WANTED_BITS)
+            hit = may_hold(held, batch.column(0).to_numpy())
             rows = []
             for t in texts(batch.column(1).filter(pa.array(hit))):
                 s = shingles(t, n)
@@ -284,11 +286,11 @@ def _sets(df: DataFrame, text: str, id_col: str, n: int, classes: DataFrame, pai
 def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of ``sets`` for classes in ``pairs``, and perhaps a few others; nothing is shuffled."""
     ends = pairs.select("a.*").union(pairs.select("b.*")).select(F.xxhash64("n", "sig").alias("key"))
-    wanted = sets.sparkSession.sparkContext.broadcast(bitmap(ends, "key", WANTED_BITS))
+    wanted = sets.sparkSession.sparkContext.broadcast(filter_of(ends, "key", 2 * pairs.count()))
 
     def run(batches):
         for batch in batches:
-            hit = in_bitmap(wanted.value, batch.column(0).to_numpy().view(np.uint64), WANTED_BITS)
+            hit = may_hold(wanted.value, batch.column(0).to_numpy())
             yield batch.filter(pa.array(hit)).select(["n", "sig", "hashes"])
 
     return sets.select(F.xxhash64("n", "sig").alias("key"), "n", "sig", "hashes").mapInArrow(run, "n int, sig bigint, hashes binary")
@@ -367,13 +369,15 @@ def join_classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: i
         # Only lists with more than one component are gone through again.
         roots = stars.select("node.*", "root")
         named = cut(member.drop("root").join(roots, ["n", "sig"], "left").withColumn("root", F.coalesce("root", F.struct("n", "sig"))), "named")
-        mixed = named.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("token")
-        old, member = member, cut(named.join(mixed, "token", "left_semi"), "mixed")
+        mixed = named.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("rows")).where("r1 != r2").select("token", "rows")
+        old, member = member, cut(named.drop("rows").join(mixed, "token"), "mixed")
         discard(named, *([old] if order else [lists]))
         if not member.take(1):
             break
         if order < ORDERS:
-            window = Window.partitionBy("token").orderBy(F.xxhash64("n", "sig", F.lit(order)), "n", "sig")
+            # Each order deals a long list anew, so rows that one order keeps apart may meet in the next; the rest meets in the end.
+            group = F.pmod(F.xxhash64("sig", "n", F.lit(order)), F.ceil(F.col("rows") / DEALT))
+            window = Window.partitionBy("token", group).orderBy(F.xxhash64("n", "sig", F.lit(order)), "n", "sig")
             close = F.array(*(F.lag(F.struct("n", "sig", "pos", "root"), k).over(window) for k in range(1, NEAR + 1)))
             near = member.select(*side("_x", "pos", "root"), close.alias("near")).select("*", F.explode("near").alias("y"))
             near = near.select("*", *(F.col(f"y.{c}").alias(f"{c}_y") for c in ("n", "sig", "pos", "root")))
@@ -409,7 +413,7 @@ def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     """The row of the smallest id of each component, with all columns; one row where it repeats. Rows without an id stay."""
     found = cut(similar_components(df, text, id_col, n, percent), "components")
     named = found.where(F.col(id_col) == F.col("component_id"))
-    kept = df.join(named.select(id_col).distinct().hint("shuffle_hash"), id_col, "left_semi")
+    kept = df.join(named.select(id_col).distinct(), id_col, "left_semi")
     if named.groupBy(id_col).count().where("count > 1").take(1):
         kept = kept.dropDuplicates([id_col])
     return kept.select(df.columns).unionByName(df.where(F.col(id_col).isNull())) if df.schema[id_col].nullable else kept.select(df.columns)
