@@ -125,8 +125,8 @@ def test_mix(spark):
     assert len(plan) == df.count()
     total, taken, target, size = sum(r.size for r in plan), defaultdict(int), {}, {}
     for r in plan:
-        assert 0 <= r.times <= 2 and len(r.draws) == r.times and all(0 <= d < mixing.SHARDS for d in r.draws)
-        taken[r.source] += r.times * r.size
+        assert len(r.draws) <= 2 and all(0 <= d < mixing.SHARDS for d in r.draws)
+        taken[r.source] += len(r.draws) * r.size
         target[r.source], size[r.source] = r.target, r.source_size
     assert sum(target.values()) == pytest.approx(1.5 * total)
     order = sorted(size, key=lambda s: (s is None, s or ""))
@@ -135,10 +135,88 @@ def test_mix(spark):
     again = mixing.plan(df.repartition(3)).collect()
     assert Counter(map(str, plan)) == Counter(map(str, again))
     mixed = mixing.mix(df)
-    assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.id for r in plan for _ in range(r.times))
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.id for r in plan for _ in r.draws)
+    assert Counter(r.shard for r in mixed.collect()) == Counter(d for r in plan for d in r.draws)
     assert mixed.columns == [*df.columns, "shard", "place"]
 
 
+def test_draws_by_hand(spark):
+    """Each shard's draws are the blocks that its quota of the source's permutation says, worked out one by one."""
+    df = sourced(spark).where("source is not null")
+    plan = mixing.plan(df)
+    rows = plan.groupBy("source").count().withColumnRenamed("count", "rows")
+    rows = plan.join(rows, "source").withColumn("n", F.expr(f"greatest(1, least({mixing.BLOCKS}, floor(rows / {mixing.BLOCK_ROWS})))"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("th", F.lit(mixing.SEED)), "n")).withColumn("turn", F.xxhash64(F.col("block").cast("int"), F.lit(mixing.SEED + 1))).collect()
+    sources, quota = sorted({r.source for r in rows}), {}
+    blocks = {s: sorted({(r.turn, r.block) for r in rows if r.source == s}) for s in sources}
+    for s in sources:  # whole passes, then blocks while there is room
+        own = [r for r in rows if r.source == s]
+        passes = int(own[0].target // own[0].source_size)
+        room, n = own[0].target - passes * own[0].source_size, 0
+        for turn, b in blocks[s]:
+            if room <= 0:
+                break
+            n, room = n + 1, room - sum(r.size for r in own if r.block == b)
+        quota[s] = passes * len(blocks[s]) + n
+    shares = {s: np.zeros(mixing.SHARDS, int) for s in sources}
+    for s in sources:
+        place = {b: k for k, (_, b) in enumerate(blocks[s])}
+        turns = {}
+        for r in rows:
+            if r.source == s:
+                turns.setdefault(place[r.block], set()).add(tuple(r.draws))
+        drawn = {}
+        for k, found in turns.items():
+            longest = max(found, key=len)
+            assert all(f == longest[: len(f)] for f in found) and (len(found) == 1 or k == (quota[s] - 1) % len(turns))
+            for p, shard in enumerate(longest):
+                drawn[p * len(turns) + k] = shard
+        assert sorted(drawn) == list(range(quota[s]))
+        order = [drawn[t] for t in range(quota[s])]
+        assert order == sorted(order)  # a shard's draws follow each other, so they are disjoint
+        shares[s] += np.bincount(order, minlength=mixing.SHARDS)
+    totals = sum(shares.values())
+    assert totals.sum() == sum(quota.values()) and totals.max() - totals.min() <= 1
+
+
+def test_mix_follows_the_tree(spark, monkeypatch):
+    """With another tree other shards draw, and a tree that draws less makes a smaller mix."""
+    df = sourced(spark)
+    before = {(r.id, r.th): tuple(r.draws) for r in mixing.plan(df).collect()}
+    whole = mixing.split_tree
+    first = lambda quotas, shards, *a: np.eye(shards, 1, dtype=np.int64) * np.asarray(quotas, np.int64)
+    monkeypatch.setattr(mixing, "split_tree", first)
+    one = {(r.id, r.th): tuple(r.draws) for r in mixing.plan(df).collect()}
+    assert {d for v in one.values() for d in v} == {0} and one != before
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, *a: whole(quotas, *a) // 2)
+    assert sum(len(r.draws) for r in mixing.plan(df).collect()) < sum(map(len, before.values()))
+
+
+def test_tree_of_groups():
+    """Sources drawn group by group have the groups' totals; draws of more than numpy allows keep theirs."""
+    top = mixing.split_tree([60, 40], 8)
+    inside = mixing.split_tree([10, 20, 30], 8, (1, 2), top[:, 0])
+    assert inside.sum(axis=0).tolist() == [10, 20, 30] and (inside.sum(axis=1) == top[:, 0]).all()
+    many = mixing.split_tree([3 * 10**9, 10**9, 5], 4)
+    assert many.sum(axis=0).tolist() == [3 * 10**9, 10**9, 5] and set(many.sum(axis=1)) <= {1_000_000_001, 1_000_000_002}
+
+
+def test_mix_cases(spark):
+    """Names that clash, sources of size 0, repeated rows that differ elsewhere, a very long text, empty tables."""
+    rows = [(i, f"a b c {i}", "s", i, "k") for i in range(300)] + [(i, None if i % 2 else " ", "none", i, "k") for i in range(300, 340)]
+    rows += [(400, "twice the same", "s", 1, "k"), (400, "twice the same", "s", 2, "k"), (500, "w " * 200_000, "long", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int, k string").toDF("doc_id", "text", "source", "draws", "_key")
+    df = df.selectExpr("*", "1 as shard", "2 as place", "3 as _time", "4 as key", "5 as _0", "6 as block", "7 as times")
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "shard", "place"]
+    out = mixed.toDF(*(f"c{i}" for i in range(len(mixed.columns)))).collect()
+    assert all((r.c5, r.c6, r.c7, r.c8, r.c9, r.c10, r.c11) == (1, 2, 3, 4, 5, 6, 7) for r in out)
+    assert not [r for r in out if r.c2 == "none"]  # nothing is taken of a source of size 0
+    assert {(r.c0, r.c3) for r in out} <= {(r[0], r[3]) for r in rows} and max(Counter((r.c0, r.c3) for r in out).values()) <= 2
+    assert mixing.in_order(mixed).count() == len(out)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
 def test_write_shards(spark, tmp_path):
     mixed = mixing.mix(sourced(spark))
     mixing.write_shards(mixed, f"{tmp_path}/m")
