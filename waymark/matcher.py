@@ -170,14 +170,14 @@ class MatcherPipeline:
     def set_matchers(self, matchers: list[Matcher], query_types: list[str] | None = None) -> None:
         self.matchers, self.query_types = list(matchers), query_types or [m.how for m in matchers]
 
-    def match(self, inputs: DataFrame, cut=None) -> DataFrame:
+    def match(self, inputs: DataFrame, cut=lambda df: tables.written(df, "cascade")) -> DataFrame:
+        """Each matcher's results are written once by ``cut``; None computes them anew wherever they are needed."""
         steps = [(lambda df, m=m, how=how: m.match(df, how=how), m.threshold) for m, how in zip(self.matchers, self.query_types)]
         return rs.cascade(inputs, steps, cut)
 
     def geocode(self, addresses, address_ids=None) -> list[dict]:
         inputs = tables.input_table(self.matchers[0].spark, addresses, address_ids)
-        out = self.match(inputs, cut=lambda df: df.persist())
-        return [r.asDict(recursive=True) for r in rs.ordered(out).collect()]
+        return [r.asDict(recursive=True) for r in rs.ordered(self.match(inputs)).collect()]
 
 
 def run_benchmark(matcher: Matcher, pairs: DataFrame, how: str | None = None) -> tuple[DataFrame, DataFrame]:

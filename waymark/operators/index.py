@@ -59,7 +59,8 @@ def merge_postings(index: DataFrame, key: str) -> DataFrame:
 def capped_postings(table: DataFrame, key: str, cap: int) -> DataFrame:
     """(key, addr_id) of the phrases that occur fewer than ``cap`` times.
 
-    The posting lists' rows one by one: no list is ever built, so frequent phrases cost a count, not an array.
+    The posting lists' rows one by one: no list is ever built. What is looked for are the frequent phrases, of which there are
+    few (less than rows / cap), so that where they are small they are broadcast, and rows aren't shuffled to be thrown away.
     """
-    rare = table.groupBy(key).agg(F.count(F.lit(1)).alias("frequency")).where(F.col("frequency") < cap).select(key)
-    return table.join(rare, key, "left_semi")
+    frequent = table.groupBy(key).agg(F.count(F.lit(1)).alias("frequency")).where(F.col("frequency") >= cap).select(key)
+    return table.join(frequent, key, "left_anti")

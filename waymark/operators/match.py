@@ -34,19 +34,38 @@ class MatchSpec:
     keep_unmatched: bool = True
 
 
+def _hashes(tokens: Column) -> Column:
+    """64-bit hashes, which are compared much faster than strings."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+#: What a measure needs of each side: made once an address, not once a pair.
+FEATURES: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "numerics": lambda address, numerics, alpha: _hashes(numerics),
+    "copies": lambda address, numerics, alpha: _hashes(similarity.numbered(numerics)),
+    "alpha": lambda address, numerics, alpha: _hashes(alpha),
+    "grams": lambda address, numerics, alpha: _hashes(similarity.grams(address)),
+    "text": lambda address, numerics, alpha: address,
+}
+
+#: Scores by name: the features, and the measure of columns given by feature and side.
+SCORES: dict[str, tuple[tuple[str, ...], Callable]] = {
+    "tokens": (("alpha", "numerics"), lambda of: similarity.iou_min(*of("alpha")) * similarity.iou(*of("numerics"))),
+    "jaro": (("text",), lambda of: similarity.jaro(*of("text"))),
+    "jaro_overlap": (("text", "numerics"), lambda of: similarity.jaro(*of("text")) * similarity.numeric_overlap(*of("numerics"))),
+    "ngram_overlap": (("grams", "numerics"), lambda of: similarity.jaccard_of_sets(*of("grams")) * similarity.numeric_overlap(*of("numerics"))),
+    "ngram_overlap2": (("grams", "numerics"), lambda of: similarity.jaccard_of_sets(*of("grams")) * similarity.numeric_overlap2(*of("numerics"))),
+    "ngram_multiset": (("grams", "copies"), lambda of: similarity.jaccard_of_sets(*of("grams")) * similarity.jaccard_of_sets(*of("copies"))),
+    "jaro_winkler": (("text",), lambda of: similarity.jaro_winkler(*of("text"))),
+}
+
+
+def _of(feature: str) -> tuple[Column, Column]:
+    return F.col(f"a_{feature}"), F.col(f"b_{feature}")
+
+
 def _score(kind: str) -> Column:
-    c = F.col
-    numeric, alpha = (c("input_numerics"), c("match_numerics")), (c("input_alpha_tokens"), c("match_alpha_tokens"))
-    texts = c("address"), c("address_matched")
-    return {
-        "tokens": lambda: similarity.iou_min(*alpha) * similarity.iou(*numeric),
-        "jaro": lambda: similarity.jaro(*texts),
-        "jaro_overlap": lambda: similarity.jaro(*texts) * similarity.numeric_overlap(*numeric),
-        "ngram_overlap": lambda: similarity.ngram_jaccard(*texts) * similarity.numeric_overlap(*numeric),
-        "ngram_overlap2": lambda: similarity.ngram_jaccard(*texts) * similarity.numeric_overlap2(*numeric),
-        "ngram_multiset": lambda: similarity.ngram_jaccard(*texts) * similarity.multiset_jaccard(*numeric),
-        "jaro_winkler": lambda: similarity.jaro_winkler(*texts),
-    }[kind]()
+    return SCORES[kind][1](_of)
 
 
 _LEGACY = MatchSpec(phrases=phrases.bigrams, clean=text.clean_input_unicode, numerics=text.numeric_tokens_legacy, overlap=0.5, score="ngram_overlap", prefilter=None)
@@ -90,15 +109,15 @@ def candidates(keys: DataFrame, postings: DataFrame) -> DataFrame:
     return keys.join(postings, "key").select("address_id1", F.col("addr_id").alias("address_id2")).distinct()
 
 
-def with_details(pairs: DataFrame, prepared_inputs: DataFrame, detail: DataFrame, spec: MatchSpec) -> DataFrame:
-    """Candidates with both sides' tokens, those that pass the filter on numerics."""
-    reference = detail.select(
-        F.col("addr_id").alias("address_id2"), F.col("addr").alias("address_matched"), F.col("numeric_tokens").alias("match_numerics"), "suburb", F.col("POSTCODE").alias("postcode"), F.col("LATITUDE").alias("latitude"), F.col("LONGITUDE").alias("longitude"), F.col("STATE").alias("state"),
-        text.alpha_tokens(F.col("addr")).alias("match_alpha_tokens"),  # once per address, not per candidate
-    )
-    a, b = F.col("input_numerics"), F.col("match_numerics")
+def compared(pairs: DataFrame, prepared_inputs: DataFrame, detail: DataFrame, spec: MatchSpec) -> DataFrame:
+    """Candidates that pass the filter on numerics, with what the scores need of both sides and nothing else."""
+    needed = sorted({"numerics"} | {f for kind in (spec.prefilter, spec.score) if kind for f in SCORES[kind][0]})
+    sides = lambda x, *columns: [FEATURES[f](*columns).alias(f"{x}_{f}") for f in needed]
+    mine = prepared_inputs.select("address_id1", *sides("a", F.col("address"), F.col("input_numerics"), F.col("input_alpha_tokens")))
+    theirs = detail.select(F.col("addr_id").alias("address_id2"), *sides("b", F.col("addr"), F.col("numeric_tokens"), text.alpha_tokens(F.col("addr"))))
+    a, b = _of("numerics")
     keep = all_numerics(a, b) if spec.overlap is None else similarity.list_overlap(a, b, spec.overlap)
-    return pairs.join(prepared_inputs, "address_id1").join(reference, "address_id2").where(keep)
+    return pairs.join(mine, "address_id1").join(theirs, "address_id2").where(keep)
 
 
 def best(scored: DataFrame, by: str, n: int) -> DataFrame:
@@ -107,32 +126,43 @@ def best(scored: DataFrame, by: str, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def ranked(found: DataFrame, spec: MatchSpec, top_n: int, neighbours: DataFrame | None = None) -> DataFrame:
-    """Scored candidates: the best by the prefilter, then the ``top_n`` best by the score."""
-    if spec.prefilter:
+def ranked(found: DataFrame, detail: DataFrame, spec: MatchSpec, top_n: int, neighbours: DataFrame | None = None) -> DataFrame:
+    """(address_id1, address_id2, similarity) of the best by the prefilter, then the ``top_n`` best by the score; with neighbours also what they add."""
+    first = spec.prefilter and (spec.prefilter != spec.score or neighbours is not None)
+    if first:  # a measure that is both prefilter and score needs one ranking
         found = best(found.withColumn("first_score", _score(spec.prefilter)), "first_score", spec.prefilter_n).drop("rank")
+    extra = []
     if neighbours is not None:
+        place = detail.select(F.col("addr_id").alias("address_id2"), F.col("addr").alias("address_matched"), "suburb", F.col("STATE").alias("state"), F.col("POSTCODE").alias("postcode"))
         near = neighbours.select("suburb_name", "state_name", F.col("postcode").alias("near_postcode"), F.col("neighbour_suburb_state_postcode").alias("neighbour"), "neighbouring_suburb_correction")
-        found = found.join(near, (F.col("suburb") == F.col("suburb_name")) & (F.col("state") == F.col("state_name")) & (F.col("postcode") == F.col("near_postcode")))
-        whole = F.concat_ws(" ", "suburb", "state", "postcode")
-        found = found.withColumn("address_matched_ns", F.regexp_replace(F.col("address_matched"), whole, F.col("neighbour")))
-    score = F.col("first_score") if spec.prefilter == spec.score else _score(spec.score)
-    return best(found.withColumn("similarity", F.when(F.col("address").isNotNull(), score).otherwise(0.0)), "similarity", top_n)
+        found = found.join(place, "address_id2").join(near, (F.col("suburb") == F.col("suburb_name")) & (F.col("state") == F.col("state_name")) & (F.col("postcode") == F.col("near_postcode")))
+        moved = F.replace(F.col("address_matched"), F.concat_ws(" ", "suburb", "state", "postcode"), F.col("neighbour"))
+        found, extra = found.withColumn("address_matched_ns", moved), NEAR
+    score = F.col("first_score") if first and spec.prefilter == spec.score else _score(spec.score)
+    tie = ["neighbour"] if extra else []
+    return best(found.select("address_id1", "address_id2", score.alias("similarity"), *extra, *tie), "similarity", top_n)
 
 
+#: Columns that neighbours add: whether the suburb is another one, and the address with its place put in.
+NEAR = ["neighbouring_suburb_correction", "address_matched_ns"]
+
 OUTPUT = ["address_id2", "address_matched", "suburb", "postcode", "latitude", "longitude", "similarity", "match_numerics", "match_alpha_tokens"]
 
 
 def match(inputs: DataFrame, detail: DataFrame, postings: DataFrame, spec: MatchSpec | str = "standard", top_n: int = 1, neighbours: DataFrame | None = None) -> DataFrame:
     """The ``top_n`` best addresses of each input; inputs without one keep a row of nulls.
 
-    ``inputs`` has address_id and address, ``detail`` is the reference table, ``postings`` (key, addr_id) of phrases below the cap.
+    ``inputs`` has address_id and address, ``detail`` is the reference table, each id once, ``postings`` (key, addr_id) of phrases below the cap.
+    Candidates are pairs of ids with hashed tokens; texts and places are joined to the chosen ones alone.
     """
     spec = CATALOGUE[spec] if isinstance(spec, str) else spec
     own = prepared(inputs, spec)
-    found = with_details(candidates(input_phrases(own, spec), postings), own, detail, spec)
-    top = ranked(found, spec, top_n, neighbours)
-    extra = ["neighbouring_suburb_correction"] if neighbours is not None else []
-    chosen = top.select(F.col("address_id1"), *OUTPUT, *extra)
-    out = own.join(chosen, "address_id1", "left" if spec.keep_unmatched else "inner")
+    found = compared(candidates(input_phrases(own, spec), postings), own, detail, spec)
+    extra = NEAR if neighbours is not None else []
+    chosen = ranked(found, detail, spec, top_n, neighbours).select("address_id1", "address_id2", "similarity", *extra)
+    named = detail.select(
+        F.col("addr_id").alias("address_id2"), F.col("addr").alias("address_matched"), "suburb", F.col("POSTCODE").alias("postcode"), F.col("LATITUDE").alias("latitude"), F.col("LONGITUDE").alias("longitude"),
+        F.col("numeric_tokens").alias("match_numerics"), text.alpha_tokens(F.col("addr")).alias("match_alpha_tokens"),
+    )
+    out = own.join(chosen.join(named, "address_id2"), "address_id1", "left" if spec.keep_unmatched else "inner")
     return out.select(F.col("address_id1").alias("address_id"), F.col("address").alias("input_address"), *OUTPUT, "input_numerics", "input_alpha_tokens", *extra)

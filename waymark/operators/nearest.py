@@ -1,46 +1,58 @@
-"""Reverse geocoding: the nearest reference point by Euclidean distance in degrees, exactly, by rings of grid cells."""
+"""Reverse geocoding: the nearest reference point by Euclidean distance in degrees, exactly, by descent through a pyramid of grid cells."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from waymark.sources.tables import written
 
+#: A cell has ``2**STEP`` cells of the next level a side.
+STEP = 3
+#: Cells of a level that are broadcast, by its depth: so many at most, as 64 cells make the first level and 4096 the second.
+SMALL = 2
 
-def nearest(queries: DataFrame, points: DataFrame, cell: float = 0.25, max_rounds: int = 40) -> DataFrame:
-    """query_id, addr_id, distance and the point's other columns, for each query (query_id, latitude, longitude).
 
-    ``points`` has addr_id, latitude and longitude. A query looks through the cells around its own; the best
-    point is right once it is no farther than the border of what was looked through. Queries that are
-    not settled go on with cells of twice the size, until one cell holds all points. Equally near points: the lowest addr_id.
-    Queries or points without coordinates don't take part.
+def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """query_id, addr_id and distance, for each query (query_id, latitude, longitude).
+
+    ``points`` has addr_id, latitude and longitude. Occupied cells of every level are listed once, each with one of its points. From the whole
+    box downwards a query keeps the cells that may hold a point as near as the nearest of these points, so it
+    meets few cells, wherever it is and however uneven the points are; the points of the finest cells that are left decide.
+    Points with equal coordinates are one, with the lowest addr_id, which also wins among equally near points.
+    Queries or points without coordinates don't take part; no points give no rows.
     """
     spark = queries.sparkSession
     q = queries.where("latitude is not null and longitude is not null").select("query_id", F.col("latitude").cast("double").alias("qy"), F.col("longitude").cast("double").alias("qx"))
     p = points.where("latitude is not null and longitude is not null").select("addr_id", F.col("latitude").cast("double").alias("py"), F.col("longitude").cast("double").alias("px"))
-    box = p.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count(F.lit(1))).first()
-    found = None
-    rest = q
-    if not box[4]:
+    p = written(p.groupBy("px", "py").agg(F.min("addr_id").alias("addr_id")), "points")
+    left, right, low, high, n = p.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count(F.lit(1))).first()
+    if not n:
         schema = T.StructType([q.schema["query_id"], p.schema["addr_id"], T.StructField("distance", T.DoubleType())])
         return spark.createDataFrame([], schema)
-    mine = q.agg(F.min("qx"), F.max("qx"), F.min("qy"), F.max("qy")).first()
-    wide = max(360.0, *(abs(v) for v in (*box[:4], *mine) if v is not None))
-    for _ in range(max_rounds):
-        at = lambda c: F.floor(F.col(c) / cell).cast("bigint")
-        around = F.explode(F.array(*(F.struct((at("qx") + i).alias("cx"), (at("qy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c")
-        keys = rest.select("query_id", "qx", "qy", around).select("query_id", "qx", "qy", "c.cx", "c.cy")
-        cells = p.withColumns({"cx": at("px"), "cy": at("py")})
-        pairs = keys.join(cells, ["cx", "cy"]).withColumn("d2", (F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2)
-        near = pairs.groupBy("query_id").agg(F.min(F.struct("d2", "addr_id")).alias("best"), F.first("qx").alias("qx"), F.first("qy").alias("qy"))
-        # What lies outside the nine cells is farther than this.
-        edge = F.least(*(F.col(c) - (at(c) - 1) * cell for c in ("qx", "qy")), *((at(c) + 2) * cell - F.col(c) for c in ("qx", "qy")))
-        sure = near.where(F.col("best.d2") <= edge**2)
-        got = sure.select("query_id", F.col("best.addr_id").alias("addr_id"), F.sqrt("best.d2").alias("distance"))
-        found = got if found is None else found.unionByName(got)
-        rest = rest.join(sure.select("query_id"), "query_id", "left_anti")
-        if cell > 4 * wide:
-            break
-        cell *= 8
-    return found
-
+    levels = math.ceil(math.log2(n) / 2 / STEP) + 1
+    finest = max(right - left, high - low, 1e-6) * (1 + 1e-9) / 2 ** (STEP * levels)
+    cell = lambda c, least: F.floor((F.col(c) - least) / finest).cast("bigint")
+    points_in = p.withColumns({"x": cell("px", left), "y": cell("py", low)})
+    each = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    at = lambda c, up: F.expr(f"shiftright({c}, {STEP} * {up})")
+    pyramid = points_in.select("px", "py", "x", "y", each).groupBy("level", at("x", "level").alias("x"), at("y", "level").alias("y")).agg(F.min(F.struct("px", "py")).alias("one"))
+    pyramid = written(pyramid, "pyramid")
+    apart = lambda x, y: (F.col("qx") - x) ** 2 + (F.col("qy") - y) ** 2
+    state = q.withColumns({"x": F.lit(0).cast("bigint"), "y": F.lit(0).cast("bigint")})
+    for level in reversed(range(levels)):
+        size = finest * 2 ** (STEP * level)
+        below = pyramid.where(F.col("level") == level).select(at("x", 1).alias("x"), at("y", 1).alias("y"), F.col("x").alias("nx"), F.col("y").alias("ny"), "one")
+        if levels - level <= SMALL:
+            below = F.broadcast(below)
+        gap = lambda c, least, k: F.greatest(least + F.col(k) * size - F.col(c), F.col(c) - least - (F.col(k) + 1) * size, F.lit(0.0)) ** 2  # noqa: B023, E731
+        pairs = state.join(below, ["x", "y"]).withColumns({"least": gap("qx", left, "nx") + gap("qy", low, "ny"), "most": apart(F.col("one.px"), F.col("one.py"))})
+        best = F.min("most").over(Window.partitionBy("query_id", "qx", "qy"))
+        # Borders of cells are rounded, so a hair's breadth is allowed.
+        state = pairs.withColumn("best", best).where(F.col("least") <= F.col("best") * (1 + 1e-6) + 1e-12).select("query_id", "qx", "qy", F.col("nx").alias("x"), F.col("ny").alias("y"))
+    near = state.join(points_in, ["x", "y"]).groupBy("query_id").agg(F.min(F.struct(apart(F.col("px"), F.col("py")).alias("d2"), "addr_id")).alias("best"))
+    return near.select("query_id", F.col("best.addr_id").alias("addr_id"), F.sqrt("best.d2").alias("distance"))

@@ -217,7 +217,7 @@ def _filtered(how: str):
         spec = mt.CATALOGUE[how]
         own = mt.prepared(corpus.inputs(spark, d), spec)
         pairs = mt.candidates(mt.input_phrases(own, spec), _postings(spark, d, mt.INDEX[spec.phrases], spec.cap))
-        return mt.with_details(pairs, own, _detail(spark, d), spec).select("address_id1", "address_id2")
+        return mt.compared(pairs, own, _detail(spark, d), spec).select("address_id1", "address_id2")
 
     return query
 
@@ -264,7 +264,7 @@ def _cascade(spark, d) -> DataFrame:
         spec = mt.CATALOGUE[how]
         postings = _postings(spark, d, mt.INDEX[spec.phrases], spec.cap)
         rest.append((lambda df, spec=spec, postings=postings: mt.match(df, detail, postings, spec), threshold))
-    return _plain(rs.cascade(corpus.inputs(spark, d), rest))
+    return _plain(rs.cascade(corpus.inputs(spark, d), rest, lambda df: tables.written(df, "cascade")))
 
 
 def _cascade_sql() -> str:

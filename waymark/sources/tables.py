@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,6 +139,20 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return fs.exists(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a folder that all executors share and read again, so it is computed once and lost executors lose nothing.
+
+    The folder is the one in spark.checkpoint.dir, or the warehouse where that is unset. The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/waymark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path, fs = _path(spark, folder)
+    fs.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def list_indexes(spark: SparkSession, root: str) -> list[str]:
     """Names of the indexes under ``root``."""
     path, fs = _path(spark, root)
