@@ -26,8 +26,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mix(docs).select(docs.columns)
+    """Documents as often as the mix takes them, in the order of its shards."""
+    mixed = mixing.in_order(mixing.mix(docs))
+    names = [f"_{i}" for i in range(len(mixed.columns))]
+    return mixed.toDF(*names).select(names[:-2]).toDF(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
