@@ -66,6 +66,20 @@ def _standard(t: str) -> str:
     return f"list_concat({_bigrams(t)}, list_transform({numeric}, lambda i: {t}[i] || ' ' || {t}[i + 2]))"
 
 
+def _soundex(t: str) -> str:
+    """The code of a word in capitals: letters of equal codes that stand together, H and W left out, count once, vowels and other characters part them."""
+    codes = f"translate(regexp_replace(substr({t}, 1, 1) || regexp_replace(substr({t}, 2), '[HW]', '', 'g'), '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+    for digit in "123456":
+        codes = f"regexp_replace({codes}, '{digit}+', '{digit}', 'g')"
+    return f"CASE WHEN regexp_matches({t}, '^[A-Z]') THEN substr({t}, 1, 1) || rpad(substr(replace(substr({codes}, 2), '0', ''), 1, 3), 3, '0') ELSE {t} END"
+
+
+def _sounds(t: str) -> str:
+    pair = lambda step: f"({_soundex(f'{t}[i]')}) || ' ' || ({_soundex(f'{t}[i + {step}]')})"
+    numeric = f"list_filter(range(1, len({t}) - 1), lambda i: TRY_CAST({t}[i] AS INTEGER) IS NOT NULL)"
+    return f"list_concat(list_transform(range(1, len({t})), lambda i: {pair(1)}), list_transform({numeric}, lambda i: {pair(2)}))"
+
+
 def _grams(x: str) -> str:
     return f"list_transform(range(1, 8), lambda p: substr({x}, p, 3))"
 
@@ -109,15 +123,20 @@ def _ngram(a: str, b: str) -> str:
     return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a} = '' AND {b} = '' THEN 0.0 ELSE len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct(list_concat({x}, {y}))) END"
 
 
-DETAIL_SQL = f"""{ADDRESSES_SQL},
-cleaned AS (SELECT *, {_clean_reference('ADDRESS_LABEL')} AS addr FROM addresses),
-detail AS (SELECT addr_id, addr, {_numerics_reference('addr')} AS numeric_tokens, ADDRESS_LABEL, LOCALITY_NAME AS suburb, POSTCODE, LATITUDE, LONGITUDE, STATE FROM cleaned WHERE len({_numerics_reference('addr')}) > 0),
+def _detail_sql(clean) -> str:
+    return f"""{ADDRESSES_SQL},
+cleaned AS (SELECT *, {clean('ADDRESS_LABEL')} AS addr FROM addresses),
+detail AS (SELECT addr_id, addr, {_numerics_reference('addr')} AS numeric_tokens, ADDRESS_LABEL, LOCALITY_NAME AS suburb, POSTCODE, LATITUDE, LONGITUDE, STATE FROM cleaned WHERE len({_numerics_reference('addr')}) > 0)"""
+
+
+DETAIL_SQL = f"""{_detail_sql(_clean_reference)},
 detail_tokens AS (SELECT addr_id, {_phrase_tokens('addr')} AS t FROM detail)"""
 
 PHRASES_SQL = {
     "standard": f"{DETAIL_SQL},\nphrase AS (SELECT addr_id, unnest({_standard('t')}) AS k FROM detail_tokens)",
     "bigram": f"{DETAIL_SQL},\nphrase AS (SELECT addr_id, unnest({_bigrams('t')}) AS k FROM detail_tokens)",
     "skipphrase": f"{DETAIL_SQL},\nphrase AS (SELECT addr_id, unnest({_skips('t')}) AS k FROM detail_tokens)",
+    "soundex": f"{DETAIL_SQL},\nphrase AS (SELECT addr_id, unnest({_sounds('t')}) AS k FROM detail_tokens)",
 }
 _W = "string_split(k, ' ')"
 PHRASES_SQL["trigram"] = f"""{DETAIL_SQL},
@@ -127,7 +146,7 @@ phrase AS (SELECT addr_id, k FROM (SELECT addr_id, unnest({_crossed(_grams(f'{_W
 
 def _match_sql(index: str, tokens: str, clean, numerics, cap: int, keep: str, score: str, prefilter: str | None, top_n: int = 1, keep_unmatched: bool = True, neighbours: bool = False) -> str:
     """The whole match as one statement."""
-    own_phrases = {"standard": _standard, "bigram": _bigrams, "skipphrase": _skips, "trigram": lambda t: f"flatten(list_transform(range(1, len({t})), lambda i: {_crossed(_input_grams(f'{t}[i]'), _input_grams(f'{t}[i + 1]'))}))"}[index]
+    own_phrases = {"standard": _standard, "bigram": _bigrams, "skipphrase": _skips, "soundex": _sounds, "trigram": lambda t: f"flatten(list_transform(range(1, len({t})), lambda i: {_crossed(_input_grams(f'{t}[i]'), _input_grams(f'{t}[i + 1]'))}))"}[index]
     first = f"first_rank AS (SELECT *, row_number() OVER (PARTITION BY address_id1 ORDER BY {prefilter} DESC, address_id2) AS r1 FROM scored_pre)" if prefilter else "first_rank AS (SELECT *, 1 AS r1 FROM scored_pre)"
     near = ", neighbours WHERE suburb = suburb_name AND state = state_name AND f.postcode = neighbours.postcode AND r1 <= 50" if neighbours else " WHERE r1 <= 50"
     tie = ", neighbour" if neighbours else ""
@@ -160,6 +179,11 @@ def _detail(spark: SparkSession, d: str) -> DataFrame:
     return ix.addresses_with_detail(corpus.addresses(spark, d))
 
 
+def _flat(detail: DataFrame) -> DataFrame:
+    """The reference table without arrays, in types that both engines print alike."""
+    return detail.select("addr_id", "addr", F.array_join("numeric_tokens", "|").alias("numeric_tokens"), "ADDRESS_LABEL", "suburb", "POSTCODE", F.col("LATITUDE").cast("double").alias("LATITUDE"), F.col("LONGITUDE").cast("double").alias("LONGITUDE"), "STATE")
+
+
 def _postings(spark: SparkSession, d: str, index: str, cap: int) -> DataFrame:
     if index == "trigram":
         found, key = ix.trigram_phrases(ix.phrase_table(_detail(spark, d), "standard")), "trigramphrase"
@@ -182,8 +206,8 @@ def _matched(how: str, top_n: int = 1):
     return query
 
 
-def _match_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _plain(mt.match(corpus.inputs(spark, d), _detail(spark, d), _postings(spark, d, "standard", 1000), "standard", 1, corpus.neighbours(spark, d)))
+def _match_neighbours(how: str):
+    return lambda spark, d: _plain(mt.match(corpus.inputs(spark, d), _detail(spark, d), _postings(spark, d, "standard", 1000), how, 1, corpus.neighbours(spark, d)))
 
 
 def _texts(f, name: str):
@@ -315,7 +339,8 @@ QUERIES = {
     "numeric_tokens_reference": _joined_tokens(text.numeric_tokens_reference),
     "numeric_tokens_legacy": _joined_tokens(text.numeric_tokens_legacy),
     "alpha_tokens": _joined_tokens(text.alpha_tokens),
-    "addresses_with_detail": lambda s, d: _detail(s, d).select("addr_id", "addr", F.array_join("numeric_tokens", "|").alias("numeric_tokens"), "ADDRESS_LABEL", "suburb", "POSTCODE", F.col("LATITUDE").cast("double").alias("LATITUDE"), F.col("LONGITUDE").cast("double").alias("LONGITUDE"), "STATE"),
+    "addresses_with_detail": lambda s, d: _flat(_detail(s, d)),
+    "addresses_normalised": lambda s, d: _flat(ix.addresses_with_detail(corpus.addresses(s, d), normalise=True)),
     "bigram_phrases": _phrase_query("bigram"),
     "standard_phrases": _phrase_query("standard"),
     "skip_phrases": _phrase_query("skipphrase"),
@@ -338,6 +363,7 @@ QUERIES = {
     "match_skipphrase": _matched("skipphrase"),
     "match_trigram": _matched("trigram"),
     "match_trigram_contained": _matched("trigram_contained"),
+    "match_trigram_contained_rare": _matched("trigram_contained_rare"),
     "match_soundex": _matched("soundex"),
     "match_bigram": _matched("bigram"),
     "match_bigram_contained": _matched("bigram_contained"),
@@ -346,7 +372,8 @@ QUERIES = {
     "match_numeric_skip_multiset": _matched("numeric_skip_multiset"),
     "match_winkler": _matched("winkler"),
     "match_winkler_matched_only": _matched("winkler_matched_only"),
-    "match_neighbours": _match_neighbours,
+    "match_neighbours": _match_neighbours("standard"),
+    "match_winkler_neighbours": _match_neighbours("winkler"),
     "match_cascade": _cascade,
     "unmatched_split": lambda s, d: rs.split_matched(_matched("standard")(s, d), 0.5)[1],
     "single_response": lambda s, d: rs.one_each(_matched("standard", 3)(s, d)),
@@ -399,6 +426,8 @@ candidates AS (SELECT DISTINCT address_id1, addr_id AS address_id2 FROM own_keys
 _SUPPLIER = """SELECT CAST(s_suppkey AS INT) AS addr_id, s_name || ' ' || n_name AS ADDRESS_LABEL, n_name AS LOCALITY_NAME, r_name AS STATE, round(CAST(CAST(s_acctbal / 100 AS FLOAT) AS DOUBLE), 3) AS LATITUDE
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
+_FLAT_SQL = "SELECT addr_id, addr, array_to_string(numeric_tokens, '|') AS numeric_tokens, ADDRESS_LABEL, suburb, POSTCODE, CAST(LATITUDE AS DOUBLE) AS LATITUDE, CAST(LONGITUDE AS DOUBLE) AS LONGITUDE, STATE FROM detail"
+
 SQL = {
     "clean_input": _doc_sql(_clean_input("text"), "clean"),
     "clean_input_unicode": _doc_sql(_clean_unicode("text"), "clean"),
@@ -409,10 +438,13 @@ SQL = {
     "numeric_tokens_reference": _token_sql(_numerics_reference),
     "numeric_tokens_legacy": _token_sql(_LEGACY_NUMERICS),
     "alpha_tokens": _token_sql(_alpha),
-    "addresses_with_detail": f"WITH {DETAIL_SQL} SELECT addr_id, addr, array_to_string(numeric_tokens, '|') AS numeric_tokens, ADDRESS_LABEL, suburb, POSTCODE, CAST(LATITUDE AS DOUBLE) AS LATITUDE, CAST(LONGITUDE AS DOUBLE) AS LONGITUDE, STATE FROM detail",
+    "addresses_with_detail": f"WITH {DETAIL_SQL} {_FLAT_SQL}",
+    "addresses_normalised": f"WITH {_detail_sql(_clean_input)} {_FLAT_SQL}",
     "bigram_phrases": f"WITH {PHRASES_SQL['bigram']} SELECT addr_id, k AS tokenphrase FROM phrase",
     "standard_phrases": f"WITH {PHRASES_SQL['standard']} SELECT addr_id, k AS tokenphrase FROM phrase",
     "skip_phrases": f"WITH {PHRASES_SQL['skipphrase']} SELECT addr_id, k AS tokenphrase FROM phrase",
+    "soundex_codes": _doc_sql(f"array_to_string(list_transform(string_split({_clean_input('text')}, ' '), lambda w: {_soundex('w')}), ' ')", "codes"),
+    "soundex_phrases": f"WITH {PHRASES_SQL['soundex']} SELECT addr_id, k AS tokenphrase FROM phrase",
     "trigram_phrases": f"WITH {PHRASES_SQL['trigram']} SELECT addr_id, k AS trigramphrase FROM phrase",
     "trigram_phrases_input": f"""WITH {corpus.PARTS_SQL}, {INPUTS_SQL}, t1 AS (SELECT address_id AS address_id1, string_split({_clean_unicode('address')}, ' ') AS t FROM inputs)
 SELECT DISTINCT address_id1, key FROM (SELECT address_id1, unnest(flatten(list_transform(range(1, len(t)), lambda i: {_crossed(_input_grams('t[i]'), _input_grams('t[i + 1]'))}))) AS key FROM t1)""",
@@ -440,6 +472,9 @@ SELECT DISTINCT address_id1, key FROM (SELECT address_id1, unnest(flatten(list_t
     "match_skipphrase": _legacy("skipphrase", f"jaro_similarity(address, address_matched) * ({_overlap('a', 'b')})"),
     "match_trigram": _legacy("trigram", f"({_NG}) * ({_overlap('a', 'b')})", 10_000),
     "match_trigram_contained": _legacy("trigram", "jaro_similarity(address, address_matched)", 10_000, _CONTAINED),
+    "match_trigram_contained_rare": _legacy("trigram", "jaro_similarity(address, address_matched)", 1000, _CONTAINED),
+    "match_soundex": _legacy("soundex", f"({_NG}) * ({_multiset('a', 'b')})", 20_000),
+    "match_winkler_neighbours": _legacy("standard", f"({_NG}) * ({_multiset('a', 'b')})", prefilter="jaro_winkler_similarity(address, address_matched)", neighbours=True),
     "match_bigram": _legacy("bigram", f"({_NG}) * ({_overlap('a', 'b')})"),
     "match_bigram_contained": _legacy("bigram", "jaro_similarity(address, address_matched)", keep=_CONTAINED),
     "match_bigram_union": _legacy("bigram", f"({_NG}) * ({_iou('a', 'b')})"),

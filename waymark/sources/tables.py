@@ -46,6 +46,17 @@ def load_addresses(spark: SparkSession, path: str, mapping: dict[str, str], stat
     return map_columns(df, mapping)
 
 
+#: Columns of the Australian national address file, by logical column. Fixed values.
+NATIONAL = {"addr_id": "ADDRESS_DETAIL_PID", "address_label": "ADDRESS_LABEL", "address_site_name": "ADDRESS_SITE_NAME", "locality_name": "LOCALITY_NAME", "postcode": "POSTCODE", "state": "STATE", "latitude": "LATITUDE", "longitude": "LONGITUDE"}
+
+
+def load_national(spark: SparkSession, path: str, states: list[str] | None = None) -> DataFrame:
+    """The address table of a national file, or of a folder of them, separated by pipes; of ``states``, VIC where none are given."""
+    schema = ", ".join(f"{c} {ADDRESS_COLUMNS[k if k == 'addr_id' else k.upper()]}" for k, c in NATIONAL.items())
+    reader = spark.read.option("header", True).option("sep", "|").option("quote", '"').option("escape", '"').option("enforceSchema", False)
+    return map_columns(reader.schema(schema).csv(path).where(F.col("STATE").isin(states or ["VIC"])), NATIONAL)
+
+
 def input_table(spark: SparkSession, addresses, ids=None) -> DataFrame:
     """(address_id, address) from a DataFrame, a list, a tuple, a text, or an array or series; ids default to 1, 2, ..."""
     if isinstance(addresses, DataFrame):
