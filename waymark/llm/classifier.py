@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut, documents, map_texts
+from waymark.llm.common import cut, discard, documents, map_texts
 from waymark.llm.repetition import measures
 
 SAMPLE = 20_000
@@ -109,20 +109,8 @@ def _strength(sites: DataFrame, mean: str) -> float:
     return float(min(MOST_WEIGHT, max(1.0, got["room"] / extra - 1)))
 
 
-def classify(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """``id_col``, p_text, p_host, p_path, p_quality and kept (p_quality of at least ``keep``) of each row.
-
-    ``labels`` has columns id and label. Hosts and paths default to the columns source and lang.
-    """
-    rows = measured(df, text, id_col, F.col("source") if host is None else host, F.col("lang") if path is None else path)
-    weights = train(rows, labels, sample)
-    if weights is None:
-        p = F.lit(PRIOR)
-    else:
-        logit = sum((F.col(f) * float(w) for f, w in zip(FEATURES, weights)), F.lit(float(weights[-1])))
-        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
-    scored = cut(rows.select("id", "host", "path", p.alias("p")), "scored")
-
+def shrink(scored: DataFrame, keep: float = KEEP) -> DataFrame:
+    """(id, p, p_host, p_path, p_quality, kept) from a written table (id, host, path, p): the posteriors of sites and documents."""
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
@@ -131,6 +119,7 @@ def classify(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     hosts = hosts.withColumn("rate", (k1 * F.lit(mean) + F.col("s")) / (k1 + F.col("n")))
     named = hosts.select(F.col("host").alias("of"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), "rate")
     sites = cut(paths.join(named, F.col("host").eqNullSafe(F.col("of"))).drop("of"), "sites")
+    discard(paths)
     k2 = _strength(sites, "rate")
 
     site = sites.select(F.col("host").alias("h"), F.col("path").alias("t"), "n", "s", "host_n", "host_s")
@@ -142,7 +131,24 @@ def classify(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     odds = lambda c: inside(c) / (1 - inside(c))
     ratio = odds(F.col("p")) / (mean / (1 - mean)) * odds(F.col("p_path"))
     one = one.withColumn("p_quality", ratio / (1 + ratio))
-    return one.select(F.col("id").alias(id_col), F.col("p").alias("p_text"), "p_host", "p_path", "p_quality", (F.col("p_quality") >= keep).alias("kept"))
+    return one.select("id", "p", "p_host", "p_path", "p_quality", (F.col("p_quality") >= keep).alias("kept"))
+
+
+def classify(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """``id_col``, p_text, p_host, p_path, p_quality and kept (p_quality of at least ``keep``) of each row.
+
+    ``labels`` has columns id and label. Hosts and paths default to the columns source and lang.
+    """
+    rows = measured(df, text, id_col, F.col("source") if host is None else host, F.col("lang") if path is None else path)
+    weights = train(rows, labels, sample)
+    if weights is None:
+        p = F.lit(PRIOR)
+    else:
+        logit = sum((F.col(f) * float(w) for f, w in zip(FEATURES, weights)), F.lit(float(weights[-1])))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
+    scored = cut(rows.select("id", "host", "path", p.alias("p")), "scored")
+    discard(rows)
+    return shrink(scored, keep).withColumnsRenamed({"id": id_col, "p": "p_text"})
 
 
 def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
