@@ -1,4 +1,12 @@
-"""The corpus pipeline: its stages in order, and ``run`` that applies them to documents."""
+"""The corpus pipeline: its stages in order, and ``run`` that applies them to documents.
+
+Each stage takes documents with the columns doc_id, text and source, and any others by any names, and all but the last give the same columns.
+
+Cases: texts that are null, empty or have few words don't pass the quality rules; very long texts are judged and cleaned in whole; rows
+without an id are documents as others; rows of the same id and text are one document, of which one row stays, equal ids with different texts are
+different documents; of a group of near duplicates the smallest id stays, rows without one last; a null source is a source; an empty table gives an
+empty one at every stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bytebpe, jaccard, mixing, repetition, substring
-from waymark.llm.common import cut, documents
+from waymark.llm.common import cut, discard, documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates."""
+    """One document of each group of near duplicates."""
     return jaccard.keep_one(docs)
 
 
@@ -50,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
