@@ -58,6 +58,16 @@ def jaccard_of_sets(x: Column, y: Column) -> Column:
     return F.when(x.isNull() | y.isNull(), None).when(every == 0, 0.0).otherwise(common / every)
 
 
+def share_of_first(x: Column, y: Column) -> Column:
+    """Of arrays without copies, the share of ``x`` that ``y`` has."""
+    return F.when(x.isNull() | y.isNull(), None).when(F.size(x) == 0, 0.0).otherwise(_n(F.array_intersect(x, y)) / _n(x))
+
+
+def share_of_smaller(x: Column, y: Column) -> Column:
+    """Of arrays without copies, what they have in common over the size of the smaller one."""
+    return F.when(x.isNull() | y.isNull(), None).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(_n(F.array_intersect(x, y)) / F.least(_n(x), _n(y)))
+
+
 def multiset_jaccard(a: Column, b: Column) -> Column:
     """Sum of the lesser counts over the sum of the greater ones."""
     return jaccard_of_sets(numbered(a), numbered(b))

@@ -12,11 +12,6 @@ from pyspark.sql.window import Window
 from waymark.functions import phrases, similarity, text
 
 
-def all_numerics(a: Column, b: Column) -> Column:
-    """Whether ``b`` has all of one to three input numerics."""
-    return F.size(a).between(1, 3) & (F.size(F.array_except(a, b)) == 0)
-
-
 @dataclass(frozen=True)
 class MatchSpec:
     """How to match; every matcher is one of these."""
@@ -35,13 +30,14 @@ class MatchSpec:
 
 
 def _hashes(tokens: Column) -> Column:
-    """64-bit hashes, which are compared much faster than strings."""
-    return F.transform(tokens, lambda t: F.xxhash64(t))
+    """64-bit hashes without copies, which are compared much faster than strings."""
+    return F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
 
 
 #: What a measure needs of each side: made once an address, not once a pair.
 FEATURES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "numerics": lambda address, numerics, alpha: _hashes(numerics),
+    "number": lambda address, numerics, alpha: F.size(numerics),
     "copies": lambda address, numerics, alpha: _hashes(similarity.numbered(numerics)),
     "alpha": lambda address, numerics, alpha: _hashes(alpha),
     "grams": lambda address, numerics, alpha: _hashes(similarity.grams(address)),
@@ -50,11 +46,11 @@ FEATURES: dict[str, Callable[[Column, Column, Column], Column]] = {
 
 #: Scores by name: the features, and the measure of columns given by feature and side.
 SCORES: dict[str, tuple[tuple[str, ...], Callable]] = {
-    "tokens": (("alpha", "numerics"), lambda of: similarity.iou_min(*of("alpha")) * similarity.iou(*of("numerics"))),
+    "tokens": (("alpha", "numerics"), lambda of: similarity.share_of_smaller(*of("alpha")) * similarity.jaccard_of_sets(*of("numerics"))),
     "jaro": (("text",), lambda of: similarity.jaro(*of("text"))),
-    "jaro_overlap": (("text", "numerics"), lambda of: similarity.jaro(*of("text")) * similarity.numeric_overlap(*of("numerics"))),
-    "ngram_overlap": (("grams", "numerics"), lambda of: similarity.jaccard_of_sets(*of("grams")) * similarity.numeric_overlap(*of("numerics"))),
-    "ngram_overlap2": (("grams", "numerics"), lambda of: similarity.jaccard_of_sets(*of("grams")) * similarity.numeric_overlap2(*of("numerics"))),
+    "jaro_overlap": (("text", "numerics"), lambda of: similarity.jaro(*of("text")) * similarity.share_of_first(*of("numerics"))),
+    "ngram_overlap": (("grams", "numerics"), lambda of: similarity.jaccard_of_sets(*of("grams")) * similarity.share_of_first(*of("numerics"))),
+    "ngram_overlap2": (("grams", "numerics"), lambda of: similarity.jaccard_of_sets(*of("grams")) * similarity.jaccard_of_sets(*of("numerics"))),
     "ngram_multiset": (("grams", "copies"), lambda of: similarity.jaccard_of_sets(*of("grams")) * similarity.jaccard_of_sets(*of("copies"))),
     "jaro_winkler": (("text",), lambda of: similarity.jaro_winkler(*of("text"))),
 }
@@ -111,12 +107,15 @@ def candidates(keys: DataFrame, postings: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, prepared_inputs: DataFrame, detail: DataFrame, spec: MatchSpec) -> DataFrame:
     """Candidates that pass the filter on numerics, with what the scores need of both sides and nothing else."""
-    needed = sorted({"numerics"} | {f for kind in (spec.prefilter, spec.score) if kind for f in SCORES[kind][0]})
+    needed = sorted({"numerics", "number"} | {f for kind in (spec.prefilter, spec.score) if kind for f in SCORES[kind][0]})
     sides = lambda x, *columns: [FEATURES[f](*columns).alias(f"{x}_{f}") for f in needed]
     mine = prepared_inputs.select("address_id1", *sides("a", F.col("address"), F.col("input_numerics"), F.col("input_alpha_tokens")))
     theirs = detail.select(F.col("addr_id").alias("address_id2"), *sides("b", F.col("addr"), F.col("numeric_tokens"), text.alpha_tokens(F.col("addr"))))
     a, b = _of("numerics")
-    keep = all_numerics(a, b) if spec.overlap is None else similarity.list_overlap(a, b, spec.overlap)
+    common, number = F.size(F.array_intersect(a, b)), F.col("a_number")
+    # All of one to three input numerics, or a share of their number, copies counted.
+    enough = number.between(1, 3) & (common == F.size(a)) if spec.overlap is None else (number > 0) & (common / number >= spec.overlap)
+    keep = a.isNotNull() & b.isNotNull() & enough
     return pairs.join(mine, "address_id1").join(theirs, "address_id2").where(keep)
 
 

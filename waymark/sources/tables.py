@@ -71,16 +71,16 @@ def input_table(spark: SparkSession, addresses, ids=None) -> DataFrame:
 
 def with_row_ids(df: DataFrame, name: str = "row_num") -> DataFrame:
     """With ids 0, 1, ... in the order of the rows: ids within partitions, moved by the counts of those before. The driver gets a count per partition."""
+    spark = df.sparkSession
     tagged = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
     counts = sorted(tagged.groupBy("_part").count().collect())
-    start, at = {}, 0
+    start, before = [], 0
     for part, n in counts:
-        start[part] = at
-        at += n
-    if not start:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in start.items() for x in pair]), F.col("_part"))
-    return tagged.withColumn(name, offset + F.col("_at") - F.shiftleft(F.col("_part").cast("bigint"), 33)).drop("_part", "_at")
+        start.append((part, before))
+        before += n
+    first = F.broadcast(spark.createDataFrame(start, "_part int, _first bigint"))
+    place = F.col("_first") + F.col("_at") - F.shiftleft(F.col("_part").cast("bigint"), 33)
+    return tagged.join(first, "_part").withColumn(name, place).select(*df.columns, name)
 
 
 def tidy_to_parquet(spark: SparkSession, path: str, out: str, required: list[str], sep: str = ",") -> DataFrame:
