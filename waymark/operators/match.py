@@ -89,8 +89,12 @@ INDEX = {phrases.standard: "standard", phrases.bigrams: "bigram", phrases.skips:
 
 
 def prepared(inputs: DataFrame, spec: MatchSpec) -> DataFrame:
-    """(address_id1, address, input_numerics, input_alpha_tokens) of inputs with address_id and address."""
-    cleaned = inputs.select(F.col("address_id").alias("address_id1"), spec.clean(F.col("address")).alias("address"))
+    """(address_id1, address, input_numerics, input_alpha_tokens) of inputs with address_id and address.
+
+    Inputs are dealt by id first: each makes up to thousands of candidates, so a few files of them must not be a few tasks.
+    """
+    parts = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cleaned = inputs.select(F.col("address_id").alias("address_id1"), "address").repartition(parts, "address_id1").select("address_id1", spec.clean(F.col("address")).alias("address"))
     return cleaned.withColumns({"input_numerics": spec.numerics(F.col("address")), "input_alpha_tokens": text.alpha_tokens(F.col("address"))})
 
 
@@ -101,8 +105,13 @@ def input_phrases(prepared_inputs: DataFrame, spec: MatchSpec) -> DataFrame:
 
 
 def candidates(keys: DataFrame, postings: DataFrame) -> DataFrame:
-    """(address_id1, address_id2), distinct: the ids that share a phrase with each input. ``postings`` is (key, addr_id)."""
-    return keys.join(postings, "key").select("address_id1", F.col("addr_id").alias("address_id2")).distinct()
+    """(address_id1, address_id2), distinct: the ids that share a phrase with each input. ``postings`` is (key, addr_id).
+
+    Pairs are dealt by address, so that the addresses' features meet them where they are.
+    """
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = keys.join(postings, "key").select("address_id1", F.col("addr_id").alias("address_id2"))
+    return pairs.repartition(parts, "address_id2").distinct()
 
 
 def compared(pairs: DataFrame, prepared_inputs: DataFrame, detail: DataFrame, spec: MatchSpec) -> DataFrame:
@@ -116,7 +125,8 @@ def compared(pairs: DataFrame, prepared_inputs: DataFrame, detail: DataFrame, sp
     # All of one to three input numerics, or a share of their number, copies counted.
     enough = number.between(1, 3) & (common == F.size(a)) if spec.overlap is None else (number > 0) & (common / number >= spec.overlap)
     keep = a.isNotNull() & b.isNotNull() & enough
-    return pairs.join(mine, "address_id1").join(theirs, "address_id2").where(keep)
+    # By address first, then by input, where the ranking takes place too.
+    return pairs.join(theirs, "address_id2").join(mine, "address_id1").where(keep)
 
 
 def best(scored: DataFrame, by: str, n: int) -> DataFrame:

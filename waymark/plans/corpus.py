@@ -63,7 +63,9 @@ def _split(columns: str) -> list[str]:
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).selectExpr(*ADDRESS)
+    """Dealt by id, as a large address file would be over many tasks; the table that they are made from is one small file."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _parts(spark, sf_dir).repartition(parts, "c_custkey").selectExpr(*ADDRESS)
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
