@@ -184,11 +184,16 @@ def _flat(detail: DataFrame) -> DataFrame:
     return detail.select("addr_id", "addr", F.array_join("numeric_tokens", "|").alias("numeric_tokens"), "ADDRESS_LABEL", "suburb", "POSTCODE", F.col("LATITUDE").cast("double").alias("LATITUDE"), F.col("LONGITUDE").cast("double").alias("LONGITUDE"), "STATE")
 
 
-def _postings(spark: SparkSession, d: str, index: str, cap: int) -> DataFrame:
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Inputs and the reference table as files, which is how a matcher finds them: made once, and of known sizes."""
+    return tables.written(corpus.inputs(spark, d), "inputs"), tables.written(_detail(spark, d), "detail")
+
+
+def _postings(detail: DataFrame, index: str, cap: int) -> DataFrame:
     if index == "trigram":
-        found, key = ix.trigram_phrases(ix.phrase_table(_detail(spark, d), "standard")), "trigramphrase"
+        found, key = ix.trigram_phrases(ix.phrase_table(detail, "standard")), "trigramphrase"
     else:
-        found, key = ix.phrase_table(_detail(spark, d), index), "tokenphrase"
+        found, key = ix.phrase_table(detail, index), "tokenphrase"
     return ix.capped_postings(found, key, cap).select(F.col(key).alias("key"), "addr_id")
 
 
@@ -201,13 +206,18 @@ def _plain(df: DataFrame) -> DataFrame:
 def _matched(how: str, top_n: int = 1):
     def query(spark: SparkSession, d: str) -> DataFrame:
         spec = mt.CATALOGUE[how]
-        return _plain(mt.match(corpus.inputs(spark, d), _detail(spark, d), _postings(spark, d, mt.INDEX[spec.phrases], spec.cap), spec, top_n))
+        inputs, detail = _stored(spark, d)
+        return _plain(mt.match(inputs, detail, _postings(detail, mt.INDEX[spec.phrases], spec.cap), spec, top_n))
 
     return query
 
 
 def _match_neighbours(how: str):
-    return lambda spark, d: _plain(mt.match(corpus.inputs(spark, d), _detail(spark, d), _postings(spark, d, "standard", 1000), how, 1, corpus.neighbours(spark, d)))
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        inputs, detail = _stored(spark, d)
+        return _plain(mt.match(inputs, detail, _postings(detail, "standard", 1000), how, 1, corpus.neighbours(spark, d)))
+
+    return query
 
 
 def _texts(f, name: str):
@@ -232,16 +242,18 @@ def _trigram_table(spark, d):
 
 
 def _candidates(spark, d) -> DataFrame:
-    own = mt.prepared(corpus.inputs(spark, d), mt.CATALOGUE["standard"])
-    return mt.candidates(mt.input_phrases(own, mt.CATALOGUE["standard"]), _postings(spark, d, "standard", 1000))
+    inputs, detail = _stored(spark, d)
+    own = mt.prepared(inputs, mt.CATALOGUE["standard"])
+    return mt.candidates(mt.input_phrases(own, mt.CATALOGUE["standard"]), _postings(detail, "standard", 1000))
 
 
 def _filtered(how: str):
     def query(spark, d):
         spec = mt.CATALOGUE[how]
-        own = mt.prepared(corpus.inputs(spark, d), spec)
-        pairs = mt.candidates(mt.input_phrases(own, spec), _postings(spark, d, mt.INDEX[spec.phrases], spec.cap))
-        return mt.compared(pairs, own, _detail(spark, d), spec).select("address_id1", "address_id2")
+        inputs, detail = _stored(spark, d)
+        own = mt.prepared(inputs, spec)
+        pairs = mt.candidates(mt.input_phrases(own, spec), _postings(detail, mt.INDEX[spec.phrases], spec.cap))
+        return mt.compared(pairs, own, detail, spec).select("address_id1", "address_id2")
 
     return query
 
@@ -283,12 +295,12 @@ def similar(name: str, pairs: DataFrame) -> DataFrame:
 
 
 def _cascade(spark, d) -> DataFrame:
-    detail, rest = _detail(spark, d), []
+    (inputs, detail), rest = _stored(spark, d), []
     for how, threshold in (("standard", 0.9), ("trigram", 0.5)):
         spec = mt.CATALOGUE[how]
-        postings = _postings(spark, d, mt.INDEX[spec.phrases], spec.cap)
+        postings = _postings(detail, mt.INDEX[spec.phrases], spec.cap)
         rest.append((lambda df, spec=spec, postings=postings: mt.match(df, detail, postings, spec), threshold))
-    return _plain(rs.cascade(corpus.inputs(spark, d), rest, lambda df: tables.written(df, "cascade")))
+    return _plain(rs.cascade(inputs, rest, lambda df: tables.written(df, "cascade")))
 
 
 def _cascade_sql() -> str:
@@ -297,8 +309,9 @@ def _cascade_sql() -> str:
 
 
 def _benchmark(spark, d) -> DataFrame:
-    found = mt.match(corpus.inputs(spark, d), _detail(spark, d), _postings(spark, d, "standard", 1000), "standard")
-    expected = _detail(spark, d).select((F.col("addr_id") + 1).alias("address_id"), F.col("addr").alias("expected_address"))
+    inputs, detail = _stored(spark, d)
+    found = mt.match(inputs, detail, _postings(detail, "standard", 1000), "standard")
+    expected = detail.select((F.col("addr_id") + 1).alias("address_id"), F.col("addr").alias("expected_address"))
     return rs.accuracy(rs.judged(found, expected))
 
 
@@ -352,7 +365,7 @@ QUERIES = {
     "skip_inverted_index": lambda s, d: _counted(ix.phrase_table(_detail(s, d), "skipphrase"), "tokenphrase"),
     "trigram_inverted_index": lambda s, d: _counted(_trigram_table(s, d), "trigramphrase"),
     "merged_postings": lambda s, d: ix.merge_postings(ix.invert(ix.phrase_table(_detail(s, d), "standard")).select(F.substring("tokenphrase", 1, 4).alias("k"), "addr_ids", "frequency"), "k").select("k", F.array_join(F.array_sort("addr_ids"), ",").alias("addr_ids"), "frequency"),
-    "frequency_capped_lookup": lambda s, d: _postings(s, d, "standard", 50),
+    "frequency_capped_lookup": lambda s, d: _postings(_detail(s, d), "standard", 50),
     "candidate_generation": _candidates,
     "numeric_overlap_filter": _filtered("standard"),
     "all_numerics_filter": _filtered("bigram_contained"),
