@@ -162,11 +162,13 @@ class Features:
         return f"frames={len(self.mel)};level={self.level:.2f};bands={','.join(f'{v:.2f}' for v in bands)};segments={len(self.spans)};active={active}"
 
 
+@lru_cache
 def tensor_type() -> pa.DataType:
     """The Arrow type of a block of log-mel frames."""
     return pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS), dim_names=("frame", "mel"))
 
 
+@lru_cache
 def _file_schema() -> pa.Schema:
     return pa.schema([("begin_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", tensor_type())])
 
