@@ -33,11 +33,59 @@ def test_classifier(spark):
     assert classifier.classify(df.limit(0), labels).count() == 0
 
 
-def test_shrinkage(spark):
-    """Rates of sites by hand."""
-    df = spark.createDataFrame([(i, "x " * 60, "a" if i < 30 else "b", f"t{i % 2}") for i in range(40)], "doc_id bigint, text string, source string, lang string")
-    out = classifier.classify(df, spark.createDataFrame([], "id bigint, label int")).collect()
-    assert all(abs(r.p_path - 0.5) < 1e-9 and abs(r.p_quality - 0.5) < 1e-9 for r in out)
+def brute_shrink(rows, keep=classifier.KEEP):
+    """(id, p_host, p_path, p_quality, kept) of rows (id, host, path, p), by the formulas."""
+
+    def strength(sites):
+        between = sum((s - n * m) ** 2 / n for n, s, m in sites) - sum(m * (1 - m) for _, _, m in sites)
+        room = sum((n - 1) * m * (1 - m) for n, _, m in sites)
+        return classifier.MOST_WEIGHT if between <= 0 or not room else min(classifier.MOST_WEIGHT, max(1.0, room / between - 1))
+
+    hosts, paths = defaultdict(lambda: [0, 0.0]), defaultdict(lambda: [0, 0.0])
+    for _, h, t, p in rows:
+        for table, k in ((hosts, h), (paths, (h, t))):
+            table[k][0] += 1
+            table[k][1] += p
+    mean = sum(r[3] for r in rows) / len(rows)
+    k1 = strength([(n, s, mean) for n, s in hosts.values()])
+    rate = {h: (k1 * mean + s) / (k1 + n) for h, (n, s) in hosts.items()}
+    k2 = strength([(n, s, rate[h]) for (h, _), (n, s) in paths.items()])
+    out = []
+    for i, h, t, p in rows:
+        p_host = (k1 * mean + hosts[h][1] - p) / (k1 + hosts[h][0] - 1)
+        p_path = (k2 * p_host + paths[h, t][1] - p) / (k2 + paths[h, t][0] - 1)
+        odds = p / (1 - p) / (mean / (1 - mean)) * p_path / (1 - p_path)
+        out.append((i, round(p_host, 9), round(p_path, 9), round(odds / (1 + odds), 9), odds / (1 + odds) >= keep))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.35])
+def test_shrinkage(spark, spark_folder, spread):
+    """Sites with and without rates of their own, sparse and null ones, against the formulas."""
+    rng = random.Random(7)
+    base = {h: 0.5 + spread * rng.uniform(-1, 1) for h in ["a", "b", "c", None, *map(str, range(30))]}
+    rows = [(i, h, rng.choice(["x", "y", None]), min(0.99, max(0.01, rng.gauss(base[h], 0.1)))) for i in range(800) for h in [rng.choice(list(base)) if i % 3 else "a"]]
+    rows += [(900, "alone", "x", 0.9), (901, "a", "x", 0.4), (901, "a", "x", 0.4)]
+    spark.createDataFrame(rows, "id bigint, host string, path string, p double").write.parquet(f"{spark_folder}/p{spread}")
+    got = classifier.shrink(spark.read.parquet(f"{spark_folder}/p{spread}")).collect()
+    assert Counter((r.id, round(r.p_host, 9), round(r.p_path, 9), round(r.p_quality, 9), r.kept) for r in got) == brute_shrink(rows)
+
+
+@pytest.fixture
+def spark_folder(tmp_path):
+    return str(tmp_path)
+
+
+def test_classifier_cases(spark):
+    """Labels that repeat and contradict each other, repeated rows, a very long text."""
+    rows = [(i, f"plain words number {i} " * 20, "h", "p") for i in range(20)] + [(50, "x " * 100_000, "h", "p"), (51, "same row here", "h", "p"), (51, "same row here", "h", "p")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    labels = spark.createDataFrame([(i % 20, i // 20 % 2) for i in range(60)] + [(7, None), (99, 1)], "id bigint, label int")
+    out = classifier.classify(df, labels).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows) and all(0 <= r.p_quality <= 1 for r in out)
+    assert len({(r.p_text, r.p_quality, r.kept) for r in out if r.doc_id == 51}) == 1
+    again = classifier.classify(df.repartition(5), labels.repartition(3)).collect()
+    assert {r.doc_id: round(r.p_quality, 9) for r in again} == {r.doc_id: round(r.p_quality, 9) for r in out}
 
 
 def test_fit():
@@ -266,20 +314,31 @@ def test_vectors_bound_the_difference(common, left, right):
 
 
 def test_keep_one(spark):
-    rows = [*ROWS, (None, "one two")]
-    kept = jaccard.keep_one(frame(spark, rows, True))
-    assert kept.columns == frame(spark, rows, True).columns
-    want = Counter({i for i, _, c in jaccard_components(rows) if i is not None and i == c})
-    want[None] = 1
-    assert Counter(r.doc_id for r in kept.collect()) == want
-
-
-@pytest.mark.parametrize("one_task", [0, 1 << 18])
-def test_components(spark, monkeypatch, one_task):
-    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    rows = [*ROWS, (None, "one two"), (None, "alone without id"), (None, "alone without id"), (6, "another text of the same id here")]
+    df = frame(spark, rows, True)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    # Of each component the smallest id, rows without one last; texts without words stay.
+    components = jaccard_components([(k, t) for k, (_, t) in enumerate(rows)])
+    groups = defaultdict(list)
+    for k, n, c in components:
+        if n:
+            groups[c].append(rows[k])
+    least = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    want = Counter(r[0] for r in least) + Counter(i for i, t in rows if not (t or "").split())
+    got = kept.select("doc_id", "text").collect()
+    assert Counter(r.doc_id for r in got) == want
+    assert Counter(r.text for r in got if r.doc_id == 6) == Counter(["one two three four", "another text of the same id here"])
+
+
+@pytest.mark.parametrize("links, held", [(1 << 18, 600_000), (60, 600_000), (60, 40), (1 << 18, 1)])
+def test_components(spark, monkeypatch, links, held):
+    """However few links a task gets and however few nodes it joins up at once."""
+    monkeypatch.setattr(graph, "LINKS", links)
+    monkeypatch.setattr(graph, "HELD", held)
     rng = random.Random(1)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a int, b int")).collect()}
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a int, b int")).collect()}
     parent = {}
 
     def find(x):
@@ -287,7 +346,7 @@ def test_components(spark, monkeypatch, one_task):
             x = parent[x]
         return x
 
-    for a, b in links:
+    for a, b in pairs:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in list(parent) if find(x) != x}
@@ -333,3 +392,30 @@ def test_pipeline(spark, tmp_path):
     for s, g in zip(order, goal):
         assert abs(sum(n * size[i] for i, n in times.items() if source[i] == s) - g) <= 80
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Each stage on an empty table, and on rows with nulls, equal ids, empty and long texts, and columns whose names clash with those inside."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(k, text(k), "en", f"s{k % 2}", 1) for k in range(12)]
+    rows += [(3, text(99), None, None, None), (None, text(98), "en", "s0", 1), (20, text(1), "de", "s1", 2), (21, None, None, "s0", 0), (22, "", "en", "s0", 0), (23, " ".join(f"l{i}" for i in range(30_000)), "en", "s1", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    more = df.selectExpr("*", "1 AS id", "2 AS th", "3 AS t1", "4 AS shard", "5 AS place", "6 AS spans", "7 AS whole", "8 AS _0", "9 AS draws", "10 AS key", "11 AS n", "12 AS sig", "13 AS root")
+    for docs in (df.limit(0), more):
+        now = docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, str(tmp_path))
+            if k < 4:
+                assert out.columns == docs.columns, name
+                out.write.parquet(f"{tmp_path}/{len(docs.columns)}{k}")
+                now = spark.read.parquet(f"{tmp_path}/{len(docs.columns)}{k}")
+                got = now.collect()
+                assert all((r.id, r.th, r.shard, r.place, r.root) == (1, 2, 4, 5, 13) for r in got) if "th" in docs.columns else not got
+                if got and name == "quality_rules":
+                    assert Counter(r.doc_id for r in got) == Counter([*range(12), 3, None, 20, 23])
+                if got and name == "ngram_jaccard":
+                    assert Counter(r.doc_id for r in got) == Counter([*range(12), 3, None, 23])
+            else:
+                assert out.count() == now.count()

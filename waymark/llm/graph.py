@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import cut, discard
 
-
-#: Up to so many links one task makes the components; beyond, they are made by rounds of joins.
-ONE_TASK = 1 << 18
+#: Links that go to a task, and nodes that it joins up at once.
+LINKS, HELD = 1 << 18, 600_000
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (columns a, b of one orderable type) that isn't its component's smallest; a table of :func:`cut`.
 
-    Up to ``ONE_TASK`` links, one task goes through them with a union-find. More are made into stars of the smallest nodes by
-    alternate large-star and small-star steps; the number of rounds grows with the logarithm of the longest path. Each round's
-    edges are written to the shared folder; mins are aggregated before the shuffle, and joins on a star's center can be split.
+    Links are dealt to as many tasks as they need, ``LINKS`` to a task, and each task makes its links into stars of their smallest nodes. Then alternate
+    large-star and small-star steps go on until all components are stars; the number of rounds grows with the logarithm of the longest path
+    that is left. Each round's edges are written to the shared folder; mins are aggregated before the shuffle, and joins on a star's center can be split.
     Empty links give an empty table; repeated links and links of a node with itself count once or not at all.
     """
-    edges = cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    n = edges.count()
-    out = _in_one_task(edges) if n <= ONE_TASK else _by_rounds(edges)
-    named = out.withColumnsRenamed({"a": "node", "b": "root"})
-    named.cut_path = out.cut_path
+    tasks = -(-max(1, links.count()) // LINKS)
+    edges = cut(_joined_up(links.where("a != b").select("a", "b").repartition(tasks)).distinct(), "edges")
+    while not _are_stars(edges):
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = large.join(least, "a")
+        small = joined.select("a", F.col("m").alias("b")).union(joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        after = cut(small, "edges")
+        discard(edges)
+        edges = after
+    named = edges.withColumnsRenamed({"a": "node", "b": "root"})
+    named.cut_path = edges.cut_path
     return named
 
 
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    import pyarrow as pa
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node has two links up, or links both up and down."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").take(1)
+
 
-    schema = edges.schema
+def _joined_up(edges: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components: stars of the links of each task."""
 
     def run(batches):
         parent: dict = {}
@@ -44,23 +57,27 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
                 parent[x], x = top, parent[x]
             return top
 
-        fields = None
+        def stars(schema):
+            rows = [(x, find(x)) for x in list(parent)]
+            rows = [r for r in rows if r[0] != r[1]]
+            parent.clear()
+            for k in range(0, len(rows), 4096):
+                a, b = ([_value(x) for x in side] for side in zip(*rows[k : k + 4096]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, schema.field(0).type), pa.array(b, schema.field(1).type)], schema=schema)
+
+        schema = None
         for batch in batches:
-            fields = batch.schema
-            key = lambda c: list(map(_key, c.to_pylist()))
-            for a, b in zip(key(batch.column(0)), key(batch.column(1))):
+            schema = batch.schema
+            for a, b in zip(*(map(_key, batch.column(k).to_pylist()) for k in (0, 1))):
                 x, y = find(a), find(b)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-        rows = [(x, find(x)) for x in list(parent)]
-        rows = [(_value(x), _value(y)) for x, y in rows if x != y]
-        for k in range(0, len(rows), 4096):
-            a, b = zip(*rows[k : k + 4096])
-            yield pa.RecordBatch.from_arrays([pa.array(list(a), fields.field(0).type), pa.array(list(b), fields.field(1).type)], schema=fields)
+            if len(parent) > HELD:
+                yield from stars(schema)
+        if parent:
+            yield from stars(schema)
 
-    out = cut(edges.repartition(1).mapInArrow(run, schema), "edges")
-    discard(edges)
-    return out
+    return edges.mapInArrow(run, edges.schema)
 
 
 class _Struct(tuple):
@@ -79,21 +96,3 @@ def _key(v):
 
 def _value(k):
     return dict(zip(k.names, k)) if isinstance(k, _Struct) else k
-
-
-def _by_rounds(edges: DataFrame) -> DataFrame:
-    before = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges
-        before = now
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select("a", F.col("m").alias("b")).union(joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        after = cut(small, "edges")
-        discard(edges)
-        edges = after

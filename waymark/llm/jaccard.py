@@ -100,8 +100,8 @@ BITS = [f"b{i}" for i in range(VECTOR)]
 
 
 def _profiles(df: DataFrame, text: str, id_col: str, n: int) -> DataFrame:
-    """A row of each document (id, n, sig, vector), and of each task's counts by bucket of the sketch (bucket, docs)."""
-    kind, arrow = schemas(f"id {df.schema[id_col].dataType.simpleString()}, n bigint, sig bigint, {', '.join(f'{b} bigint' for b in BITS)}, bucket int, docs bigint")
+    """A row of each document (id, th, n, sig, vector), and of each task's counts by bucket of the sketch (bucket, docs)."""
+    kind, arrow = schemas(f"id {df.schema[id_col].dataType.simpleString()}, th bigint, n bigint, sig bigint, {', '.join(f'{b} bigint' for b in BITS)}, bucket int, docs bigint")
 
     def run(batches):
         counts, held, size = np.zeros(1 << SKETCH_BITS, np.int32), [], 0
@@ -117,7 +117,7 @@ def _profiles(df: DataFrame, text: str, id_col: str, n: int) -> DataFrame:
 
         for batch in batches:
             rows, bits = [], []
-            for t in texts(batch.column(1)):
+            for t in texts(batch.column(2)):
                 s = shingles(t, n)
                 held.append(s)
                 size += len(s)
@@ -127,15 +127,15 @@ def _profiles(df: DataFrame, text: str, id_col: str, n: int) -> DataFrame:
                     count()
             if rows:
                 none = [None] * len(rows)
-                yield record(arrow, [batch.column(0), *zip(*rows), *np.stack(bits, axis=1), none, none])
+                yield record(arrow, [batch.column(0), batch.column(1), *zip(*rows), *np.stack(bits, axis=1), none, none])
         count()
         used = np.flatnonzero(counts)
         for a in range(0, len(used), 10_000):
             part = used[a : a + 10_000]
             none = [None] * len(part)
-            yield record(arrow, [none] * (3 + VECTOR) + [part.tolist(), counts[part].tolist()])
+            yield record(arrow, [none] * (4 + VECTOR) + [part.tolist(), counts[part].tolist()])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, kind)
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, kind)
 
 
 def _prefixes(df: DataFrame, text: str, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
@@ -338,10 +338,10 @@ def _ends(x: str, y: str):
 
 
 def join_classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows, stars): id, n, sig of ``df``'s rows, and (node, root) of classes that aren't the least of their component."""
+    """(rows, stars): id, th (Spark's xxhash64 of the text), n, sig of ``df``'s rows, and (node, root) of classes that aren't the least of their component."""
     python_batches(df.sparkSession)
     profiles = cut(_profiles(df, text, id_col, n), "profiles")
-    rows = profiles.where("bucket is null").select("id", F.col("n").cast("int").alias("n"), "sig", *BITS)
+    rows = profiles.where("bucket is null").select("id", "th", F.col("n").cast("int").alias("n"), "sig", *BITS)
     counts = profiles.where("bucket is not null").groupBy("bucket").agg(F.least(F.sum("docs"), F.lit(1 << 30)).cast("int").alias("docs")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     sketch[counts["bucket"].to_numpy()] = counts["docs"].to_numpy()
@@ -392,7 +392,7 @@ def join_classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: i
         discard(stars)
         stars = components(links)
     discard(member, links)
-    rows = cut(rows.select("id", "n", "sig"), "rows")
+    rows = cut(rows.select("id", "th", "n", "sig"), "rows")
     discard(profiles, classes)
     return rows, stars
 
@@ -410,13 +410,26 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
 
 
 def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The row of the smallest id of each component, with all columns; one row where it repeats. Rows without an id stay."""
-    found = cut(similar_components(df, text, id_col, n, percent), "components")
-    named = found.where(F.col(id_col) == F.col("component_id"))
-    kept = df.join(named.select(id_col).distinct(), id_col, "left_semi")
-    if named.groupBy(id_col).count().where("count > 1").take(1):
-        kept = kept.dropDuplicates([id_col])
-    return kept.select(df.columns).unionByName(df.where(F.col(id_col).isNull())) if df.schema[id_col].nullable else kept.select(df.columns)
+    """One row of each component, with all columns: that of the smallest id, rows without one last, then of the smallest hash of the text.
+
+    Rows of the same id and text are one document and leave one row. Texts without words link with nothing and stay. Columns may have any names.
+    """
+    rows, stars = join_classes(df, text, id_col, n, percent)
+    rooted = rows.where("n > 0").join(stars.select("node.*", "root"), ["n", "sig"], "left").withColumn("root", F.coalesce("root", F.struct("n", "sig")))
+    chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "th")).alias("one"), F.count(F.lit(1)).alias("rows"))
+    chosen = cut(chosen.select("one.id", "one.th", "rows"), "chosen")
+    # Whether a chosen document has several rows.
+    repeated = rows.join(chosen.where("rows > 1"), rows.id.eqNullSafe(chosen.id) & (rows.th == chosen.th), "left_semi").groupBy("id", "th").count().where("count > 1").take(1)
+    discard(stars, rows)
+    names = [f"_{i}" for i in range(len(df.columns))]
+    key, at = names[df.columns.index(id_col)], names[df.columns.index(text)]
+    keyed = df.toDF(*names).withColumn("th", F.xxhash64(at))
+    kept = keyed.join(chosen, keyed[key].eqNullSafe(chosen.id) & (keyed.th == chosen.th), "left_semi")
+    has_words = F.coalesce(F.col(at).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = kept.where(has_words)
+    if repeated:
+        kept = kept.dropDuplicates([key, "th"])
+    return kept.unionByName(keyed.where(~has_words)).select(*names).toDF(*df.columns)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
