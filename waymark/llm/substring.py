@@ -39,7 +39,9 @@ from waymark.llm.common import cut, discard, documents, filter_of, may_hold, mix
 
 WIDTH, GRAM = 35, 8
 #: Different pieces that a shard holds at most.
-HOT = 4000
+HOT = 1500
+#: Pieces that a task remembers as sent; forgetting costs rows, not results.
+SEEN = 100_000
 
 
 class SuffixAutomaton:
@@ -335,11 +337,23 @@ def _parts(corpus: _Corpus, repeated, mixed, hot, owners) -> DataFrame:
 
     def make():
         repeated, mixed, hot, owners = shared.value
+        seen: set = set()
+
+        def sent(anchor, digest):
+            """Whether each piece has gone out before, as runs that share a bit with an owner come too."""
+            if len(seen) > SEEN:
+                seen.clear()
+            new = list(zip(anchor.tolist(), digest.tolist()))
+            out = np.array([k in seen for k in new], bool)
+            seen.update(new)
+            return out
 
         def one(t1, t2, known, words, h, *runs):
             begin, anchor, n, digest, digests = _hits(repeated, h, *runs, width, gram)
             single = may_hold(hot, anchor) if hot else np.zeros(len(anchor), bool)
             own = may_hold(mixed, anchor) & ~single & may_hold(owners, _owner(anchor, digest, t1, begin))
+            own = np.flatnonzero(own)
+            own = own[~sent(anchor[own], digest[own])]
             bodies = [b" ".join(words[a : a + k + width - 1]) for a, k in zip(begin[own].tolist(), n[own].tolist())]
             start = np.concatenate([np.arange(a, a + k) for a, k in zip(begin[single].tolist(), n[single].tolist())]) if single.any() else begin[:0]
             if not len(bodies) and not len(start):
