@@ -64,3 +64,11 @@ def capped_postings(table: DataFrame, key: str, cap: int) -> DataFrame:
     """
     frequent = table.groupBy(key).agg(F.count(F.lit(1)).alias("frequency")).where(F.col("frequency") >= cap).select(key)
     return table.join(frequent, key, "left_anti")
+
+
+def frequent_phrases(detail: DataFrame, how: str, cap: int) -> DataFrame:
+    """(key, frequency) of the phrases that occur ``cap`` times or more, less than rows / cap of them. Trigrams are counted by the phrases that they are made of."""
+    counts = phrase_table(detail, "standard" if how == "trigram" else how).groupBy(F.col("tokenphrase").alias("key")).agg(F.count(F.lit(1)).alias("frequency"))
+    if how == "trigram":
+        counts = counts.select(F.explode(phrases.trigrams_of_phrase(F.col("key"))).alias("key"), "frequency").groupBy("key").agg(F.sum("frequency").alias("frequency"))
+    return counts.where(F.col("frequency") >= cap)

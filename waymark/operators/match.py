@@ -135,6 +135,14 @@ def best(scored: DataFrame, by: str, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def moved(found: DataFrame, detail: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """``found`` once for each neighbour of the address's place, with the address moved there."""
+    place = detail.select(F.col("addr_id").alias("address_id2"), F.col("addr").alias("address_matched"), "suburb", F.col("STATE").alias("state"), F.col("POSTCODE").alias("postcode"))
+    near = neighbours.select("suburb_name", "state_name", F.col("postcode").alias("near_postcode"), F.col("neighbour_suburb_state_postcode").alias("neighbour"), "neighbouring_suburb_correction")
+    found = found.join(place, "address_id2").join(near, (F.col("suburb") == F.col("suburb_name")) & (F.col("state") == F.col("state_name")) & (F.col("postcode") == F.col("near_postcode")))
+    return found.withColumn("address_matched_ns", F.replace(F.col("address_matched"), F.concat_ws(" ", "suburb", "state", "postcode"), F.col("neighbour")))
+
+
 def ranked(found: DataFrame, detail: DataFrame, spec: MatchSpec, top_n: int, neighbours: DataFrame | None = None) -> DataFrame:
     """(address_id1, address_id2, similarity) of the best by the prefilter, then the ``top_n`` best by the score; with neighbours also what they add."""
     first = spec.prefilter and (spec.prefilter != spec.score or neighbours is not None)
@@ -142,11 +150,7 @@ def ranked(found: DataFrame, detail: DataFrame, spec: MatchSpec, top_n: int, nei
         found = best(found.withColumn("first_score", _score(spec.prefilter)), "first_score", spec.prefilter_n).drop("rank")
     extra = []
     if neighbours is not None:
-        place = detail.select(F.col("addr_id").alias("address_id2"), F.col("addr").alias("address_matched"), "suburb", F.col("STATE").alias("state"), F.col("POSTCODE").alias("postcode"))
-        near = neighbours.select("suburb_name", "state_name", F.col("postcode").alias("near_postcode"), F.col("neighbour_suburb_state_postcode").alias("neighbour"), "neighbouring_suburb_correction")
-        found = found.join(place, "address_id2").join(near, (F.col("suburb") == F.col("suburb_name")) & (F.col("state") == F.col("state_name")) & (F.col("postcode") == F.col("near_postcode")))
-        moved = F.replace(F.col("address_matched"), F.concat_ws(" ", "suburb", "state", "postcode"), F.col("neighbour"))
-        found, extra = found.withColumn("address_matched_ns", moved), NEAR
+        found, extra = moved(found, detail, neighbours), NEAR
     score = F.col("first_score") if first and spec.prefilter == spec.score else _score(spec.score)
     tie = ["neighbour"] if extra else []
     return best(found.select("address_id1", "address_id2", score.alias("similarity"), *extra, *tie), "similarity", top_n)
@@ -167,11 +171,16 @@ def match(inputs: DataFrame, detail: DataFrame, postings: DataFrame, spec: Match
     spec = CATALOGUE[spec] if isinstance(spec, str) else spec
     own = prepared(inputs, spec)
     found = compared(candidates(input_phrases(own, spec), postings), own, detail, spec)
-    extra = NEAR if neighbours is not None else []
-    chosen = ranked(found, detail, spec, top_n, neighbours).select("address_id1", "address_id2", "similarity", *extra)
-    named = detail.select(
+    return named(own, ranked(found, detail, spec, top_n, neighbours), detail, spec, neighbours is not None)
+
+
+def named(own: DataFrame, chosen: DataFrame, detail: DataFrame, spec: MatchSpec, near: bool = False) -> DataFrame:
+    """The prepared inputs with their chosen addresses (address_id1, address_id2, similarity), texts and places joined to these."""
+    extra = NEAR if near else []
+    chosen = chosen.select("address_id1", "address_id2", "similarity", *extra)
+    known = detail.select(
         F.col("addr_id").alias("address_id2"), F.col("addr").alias("address_matched"), "suburb", F.col("POSTCODE").alias("postcode"), F.col("LATITUDE").alias("latitude"), F.col("LONGITUDE").alias("longitude"),
         F.col("numeric_tokens").alias("match_numerics"), text.alpha_tokens(F.col("addr")).alias("match_alpha_tokens"),
     )
-    out = own.join(chosen.join(named, "address_id2"), "address_id1", "left" if spec.keep_unmatched else "inner")
+    out = own.join(chosen.join(known, "address_id2"), "address_id1", "left" if spec.keep_unmatched else "inner")
     return out.select(F.col("address_id1").alias("address_id"), F.col("address").alias("input_address"), *OUTPUT, "input_numerics", "input_alpha_tokens", *extra)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import phrases, similarity, text
+from waymark.operators import blocks as bl
 from waymark.operators import index as ix
 from waymark.operators import match as mt
 from waymark.operators import nearest as nr
@@ -207,7 +208,7 @@ def _matched(how: str, top_n: int = 1):
     def query(spark: SparkSession, d: str) -> DataFrame:
         spec = mt.CATALOGUE[how]
         inputs, detail = _stored(spark, d)
-        return _plain(mt.match(inputs, detail, _postings(detail, mt.INDEX[spec.phrases], spec.cap), spec, top_n))
+        return _plain(bl.match(inputs, detail, mt.INDEX[spec.phrases], spec, top_n))
 
     return query
 
@@ -215,7 +216,7 @@ def _matched(how: str, top_n: int = 1):
 def _match_neighbours(how: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         inputs, detail = _stored(spark, d)
-        return _plain(mt.match(inputs, detail, _postings(detail, "standard", 1000), how, 1, corpus.neighbours(spark, d)))
+        return _plain(bl.match(inputs, detail, "standard", how, 1, corpus.neighbours(spark, d)))
 
     return query
 
@@ -298,8 +299,7 @@ def _cascade(spark, d) -> DataFrame:
     (inputs, detail), rest = _stored(spark, d), []
     for how, threshold in (("standard", 0.9), ("trigram", 0.5)):
         spec = mt.CATALOGUE[how]
-        postings = _postings(detail, mt.INDEX[spec.phrases], spec.cap)
-        rest.append((lambda df, spec=spec, postings=postings: mt.match(df, detail, postings, spec), threshold))
+        rest.append((lambda df, spec=spec: bl.match(df, detail, mt.INDEX[spec.phrases], spec), threshold))
     return _plain(rs.cascade(inputs, rest, lambda df: tables.written(df, "cascade")))
 
 
@@ -310,7 +310,7 @@ def _cascade_sql() -> str:
 
 def _benchmark(spark, d) -> DataFrame:
     inputs, detail = _stored(spark, d)
-    found = mt.match(inputs, detail, _postings(detail, "standard", 1000), "standard")
+    found = bl.match(inputs, detail, "standard", "standard")
     expected = detail.select((F.col("addr_id") + 1).alias("address_id"), F.col("addr").alias("expected_address"))
     return rs.accuracy(rs.judged(found, expected))
 
