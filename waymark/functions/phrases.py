@@ -16,6 +16,11 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def _once(array: Column, make) -> Column:
+    """``make(array)`` with the array computed once, not anew for each of its elements."""
+    return F.get(F.transform(F.array(array), make), F.lit(0))
+
+
 def _pairs(tokens: Column, step: int, where=None) -> Column:
     """``t[i] t[i + step]`` for every i that has both."""
     spaced = lambda i: F.concat(F.get(tokens, i), F.lit(" "), F.get(tokens, i + step))
@@ -31,22 +36,25 @@ def _is_integer(token: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Neighbouring tokens."""
-    return _pairs(tokens, 1)
+    return _once(tokens, lambda t: _pairs(t, 1))
 
 
 def standard(tokens: Column) -> Column:
     """Neighbouring tokens, and an integer with the token after the next."""
-    return F.concat(_pairs(tokens, 1), _pairs(tokens, 2, _is_integer))
+    return _once(tokens, lambda t: F.concat(_pairs(t, 1), _pairs(t, 2, _is_integer)))
 
 
 def skips(tokens: Column) -> Column:
     """Each token with the one after the next."""
-    return _pairs(tokens, 2)
+    return _once(tokens, lambda t: _pairs(t, 2))
 
 
 def sounds(tokens: Column) -> Column:
     """Standard phrases of the tokens' soundex codes; integers are told by the tokens themselves."""
-    code = F.transform(tokens, F.soundex)
+    return _once(tokens, lambda t: _once(F.transform(t, F.soundex), lambda code: _sounds(t, code)))
+
+
+def _sounds(tokens: Column, code: Column) -> Column:
     pair = lambda step: lambda i: F.concat(F.get(code, i), F.lit(" "), F.get(code, i + step))
     near = F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), pair(1))).otherwise(_none())
     skip = F.filter(F.sequence(F.lit(0), F.size(tokens) - 3), lambda i: _is_integer(F.get(tokens, i)))
@@ -63,15 +71,18 @@ def _crossed(a: Column, b: Column) -> Column:
 
 def trigrams_of_phrase(phrase: Column) -> Column:
     """On the index side: trigrams of both words of a phrase, together of 5 characters at least."""
-    words = F.split(phrase, " ")
-    return F.filter(_crossed(_grams(F.get(words, F.lit(0))), _grams(F.get(words, F.lit(1)))), lambda g: F.length(g) >= 5)
+    crossed = lambda words: _once(_grams(F.get(words, F.lit(1))), lambda b: _crossed(_grams(F.get(words, F.lit(0))), b))
+    return F.filter(_once(F.split(phrase, " "), crossed), lambda g: F.length(g) >= 5)
 
 
 def trigrams_of_input(tokens: Column) -> Column:
     """On the input side: trigrams of two bytes at least of neighbouring tokens."""
-    own = F.transform(tokens, lambda t: F.filter(_grams(t), lambda g: F.octet_length(g) >= 2))
-    both = F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: _crossed(F.get(own, i), F.get(own, i + 1)))
-    return F.when(F.size(tokens) > 1, F.flatten(both)).otherwise(_none())
+
+    def both(own: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(own) - 2), lambda i: _crossed(F.get(own, i), F.get(own, i + 1)))
+        return F.when(F.size(own) > 1, F.flatten(pairs)).otherwise(_none())
+
+    return _once(F.transform(tokens, lambda t: F.filter(_grams(t), lambda g: F.octet_length(g) >= 2)), both)
 
 
 def md5_prefix(phrase: Column, digits: int = 5) -> Column:
