@@ -393,14 +393,16 @@ def _chosen(own: DataFrame, detail: DataFrame, index: str, spec: mt.MatchSpec, t
     kinds = {f for kind in (spec.prefilter, spec.score) if kind for f in mt.SCORES[kind][0]}
     alpha = lambda c: [c.alias("alpha")] if "alpha" in kinds else []
     words = lambda c: [c.alias("text")] if kinds & {"grams", "text"} else []
-    block = lambda c: F.explode(F.array_distinct(c)).alias("block")
+    blocks = lambda c: F.array_distinct(c).alias("blocks")
+    # Exploded in a step of its own, so that what is made of a row is made once.
+    opened = lambda df: df.withColumn("block", F.explode("blocks")).drop("blocks")
 
     near = F.lit(True)
     if neighbours is not None:
         place = neighbours.select(F.col("suburb_name").alias("suburb"), F.col("state_name").alias("STATE"), F.col("postcode").alias("POSTCODE")).distinct().withColumn("known", F.lit(True))
         detail, near = detail.join(place, ["suburb", "STATE", "POSTCODE"], "left"), F.coalesce("known", F.lit(False))
-    left = own.select("address_id1", F.col("input_numerics").alias("numerics"), mine.alias("phrases"), *words(F.col("address")), *alpha(F.col("input_alpha_tokens")), block(F.col("input_numerics")))
-    right = detail.select(F.col("addr_id").alias("address_id2"), "numeric_tokens", near.alias("near"), theirs.alias("phrases"), *words(F.col("addr")), *alpha(text.alpha_tokens(F.col("addr"))), block(F.col("numeric_tokens"))).withColumnRenamed("numeric_tokens", "numerics")
+    left = opened(own.select("address_id1", F.col("input_numerics").alias("numerics"), mine.alias("phrases"), *words(F.col("address")), *alpha(F.col("input_alpha_tokens")), blocks(F.col("input_numerics"))))
+    right = opened(detail.select(F.col("addr_id").alias("address_id2"), F.col("numeric_tokens").alias("numerics"), near.alias("near"), theirs.alias("phrases"), *words(F.col("addr")), *alpha(text.alpha_tokens(F.col("addr"))), blocks(F.col("numeric_tokens"))))
 
     # Blocks of more than a slice: less than twice the tokens over the slice, so few.
     sizes = left.select("block", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(right.select("block", F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy("block").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
