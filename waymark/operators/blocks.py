@@ -319,7 +319,7 @@ def candidates(block: Block, trigrams: bool, frequent: pa.Array) -> Iterator[tup
         return
     # Phrases meet by their trigrams, each once, and rows by their phrases.
     pb, row_b, keys_b, n_b = _keys(rb, vb, _of_reference, frequent)
-    step = 2000
+    step = SLICE
     for start in range(0, block.n, step):
         these = (ra >= start) & (ra < start + step)
         if not these.any():
@@ -401,7 +401,9 @@ def _chosen(own: DataFrame, detail: DataFrame, index: str, spec: mt.MatchSpec, t
     if neighbours is not None:
         place = neighbours.select(F.col("suburb_name").alias("suburb"), F.col("state_name").alias("STATE"), F.col("postcode").alias("POSTCODE")).distinct().withColumn("known", F.lit(True))
         detail, near = detail.join(place, ["suburb", "STATE", "POSTCODE"], "left"), F.coalesce("known", F.lit(False))
-    left = opened(own.select("address_id1", F.col("input_numerics").alias("numerics"), mine.alias("phrases"), *words(F.col("address")), *alpha(F.col("input_alpha_tokens")), blocks(F.col("input_numerics"))))
+    # Where all numerics of an input are asked for, one of them finds all that have them.
+    needed = F.col("input_numerics") if spec.overlap is not None else F.slice("input_numerics", 1, 1)
+    left = opened(own.select("address_id1", F.col("input_numerics").alias("numerics"), mine.alias("phrases"), *words(F.col("address")), *alpha(F.col("input_alpha_tokens")), blocks(needed)))
     right = opened(detail.select(F.col("addr_id").alias("address_id2"), F.col("numeric_tokens").alias("numerics"), near.alias("near"), theirs.alias("phrases"), *words(F.col("addr")), *alpha(text.alpha_tokens(F.col("addr"))), blocks(F.col("numeric_tokens"))))
 
     # Blocks of more than a slice: less than twice the tokens over the slice, so few.
