@@ -11,7 +11,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -20,8 +20,12 @@ from waymark.functions import phrases, similarity, text
 from waymark.operators import index as ix
 from waymark.operators import match as mt
 
-#: Rows of a side that meet at once; larger blocks are cut into slices of which each meets each.
-SLICE = 12_000
+#: Rows of a side that meet at once; larger blocks are cut into slices of which each meets each, so smaller slices copy rows more often.
+SLICE = 40_000
+#: By how many times slices are smaller where trigrams, which take more memory than phrases, are made of their rows.
+TRIGRAM = 3
+#: Blocks whose sizes inputs are told, the largest first.
+TOLD = 1000
 #: Pairs that are held at once.
 PAIRS = 1_000_000
 
@@ -33,13 +37,13 @@ def _grams(word: str) -> list[str]:
     return [word[p : p + 3] for p in range(phrases.POSITIONS)]
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=20_000)
 def _of_input(phrase: str) -> tuple[str, ...]:
     a, b = ([g for g in _grams(w) if len(g.encode()) >= 2] for w in phrase.split(" "))
     return tuple({f"{x} {y}" for x in a for y in b})
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=20_000)
 def _of_reference(phrase: str) -> tuple[str, ...]:
     a, b = map(_grams, phrase.split(" ")[:2])
     return tuple({g for x in a for y in b if len(g := f"{x} {y}") >= 5})
@@ -309,6 +313,10 @@ def _keys(rows, values, of, frequent):
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), *_rare(np.repeat(np.arange(len(found)), [len(f) for f in found]), trigrams, frequent), len(found)
 
 
+def _slice(trigrams: bool) -> int:
+    return max(1, SLICE // TRIGRAM) if trigrams else SLICE
+
+
 def candidates(block: Block, trigrams: bool, frequent: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of a block that share a phrase that isn't frequent, all of an input at a time."""
     (ra, va), (rb, vb) = _flat(block.left["phrases"]), _flat(block.right["phrases"])
@@ -319,7 +327,7 @@ def candidates(block: Block, trigrams: bool, frequent: pa.Array) -> Iterator[tup
         return
     # Phrases meet by their trigrams, each once, and rows by their phrases.
     pb, row_b, keys_b, n_b = _keys(rb, vb, _of_reference, frequent)
-    step = SLICE
+    step = _slice(True)
     for start in range(0, block.n, step):
         these = (ra >= start) & (ra < start + step)
         if not these.any():
@@ -378,12 +386,31 @@ def compared(left: pa.Table, right: pa.Table, *, spec: dict, frequent: list[str]
 
 
 def _sliced(rows: DataFrame, large: DataFrame, key: str, own: str, other: str) -> DataFrame:
-    """``rows`` with their slice, once for each slice of the other side."""
-    cut = rows.join(F.broadcast(large), "block", "left")
+    """``rows`` with their slice, once for each slice of the other side; without those of large blocks that the other side has no rows of."""
     slices = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(1))
+    cut = rows.join(F.broadcast(large), "block", "left").where(slices(other) > 0)
     return cut.withColumn(own, F.pmod(F.xxhash64(key), slices(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), slices(other) - 1))).drop(f"n_{own}", f"n_{other}")
 
 
+def _asked(numerics: Column, spec: mt.MatchSpec, large: list[str]) -> Column:
+    """The blocks that an input goes to: with ``c`` of its ``n`` different numerics asked for, any ``n - c + 1`` find all addresses, so the smallest do.
+
+    ``large`` are tokens of large blocks, the largest last.
+    """
+    different = F.array_distinct(numerics)
+    if spec.overlap is None:
+        number = F.when(F.size(numerics) <= 3, 1).otherwise(0)
+    else:
+        # What rounding leaves open is asked for in one block more.
+        least = F.greatest(F.lit(1), F.ceil(F.size(numerics) * spec.overlap - 1e-9).cast("int"))
+        number = F.greatest(F.lit(0), F.size(different) - least + 1)
+    if large:
+        place = F.array(*map(F.lit, large))
+        by_size = F.array_sort(F.transform(different, lambda t: F.struct(F.array_position(place, t).alias("at"), t.alias("token"))))
+        different = F.transform(by_size, lambda x: x["token"])
+    return F.slice(different, F.lit(1), number)
+
+
 def _chosen(own: DataFrame, detail: DataFrame, index: str, spec: mt.MatchSpec, top_n: int, neighbours: DataFrame | None) -> DataFrame:
     """(address_id1, address_id2, similarity): the ``top_n`` best addresses of each input; with neighbours, of those whose place has some."""
     trigrams = index == "trigram"
@@ -401,15 +428,17 @@ def _chosen(own: DataFrame, detail: DataFrame, index: str, spec: mt.MatchSpec, t
     if neighbours is not None:
         place = neighbours.select(F.col("suburb_name").alias("suburb"), F.col("state_name").alias("STATE"), F.col("postcode").alias("POSTCODE")).distinct().withColumn("known", F.lit(True))
         detail, near = detail.join(place, ["suburb", "STATE", "POSTCODE"], "left"), F.coalesce("known", F.lit(False))
-    # Where all numerics of an input are asked for, one of them finds all that have them.
-    needed = F.col("input_numerics") if spec.overlap is not None else F.slice("input_numerics", 1, 1)
+    size = _slice(trigrams)
+    known = detail.select(F.explode(F.array_distinct("numeric_tokens")).alias("block")).groupBy("block").count().where(F.col("count") > size)
+    told = [r[0] for r in known.orderBy(F.desc("count"), "block").limit(TOLD).select("block").collect()]
+    needed = _asked(F.col("input_numerics"), spec, told[::-1])
     left = opened(own.select("address_id1", F.col("input_numerics").alias("numerics"), mine.alias("phrases"), *words(F.col("address")), *alpha(F.col("input_alpha_tokens")), blocks(needed)))
     right = opened(detail.select(F.col("addr_id").alias("address_id2"), F.col("numeric_tokens").alias("numerics"), near.alias("near"), theirs.alias("phrases"), *words(F.col("addr")), *alpha(text.alpha_tokens(F.col("addr"))), blocks(F.col("numeric_tokens"))))
 
     # Blocks of more than a slice: less than twice the tokens over the slice, so few.
     sizes = left.select("block", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(right.select("block", F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy("block").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / SLICE)).cast("int")
-    large = sizes.where((F.col("a") > SLICE) | (F.col("b") > SLICE)).select("block", parts("a").alias("n_slice1"), parts("b").alias("n_slice2"))
+    parts = lambda c: F.ceil(F.col(c) / size).cast("int")
+    large = sizes.where((F.col("a") > size) | (F.col("b") > size)).select("block", parts("a").alias("n_slice1"), parts("b").alias("n_slice2"))
     left, right = _sliced(left, large, "address_id1", "slice1", "slice2"), _sliced(right, large, "address_id2", "slice2", "slice1")
 
     first = spec.prefilter if spec.prefilter and (spec.prefilter != spec.score or neighbours is not None) else None
