@@ -422,7 +422,8 @@ def _chosen(own: DataFrame, detail: DataFrame, index: str, spec: mt.MatchSpec, t
     words = lambda c: [c.alias("text")] if kinds & {"grams", "text"} else []
     blocks = lambda c: F.array_distinct(c).alias("blocks")
     # Exploded in a step of its own, so that what is made of a row is made once.
-    opened = lambda df: df.withColumn("block", F.explode("blocks")).drop("blocks")
+    # The outer form has no filter that would go below the dealing by id, where the few files of inputs would be few tasks.
+    opened = lambda df: df.withColumn("block", F.explode_outer("blocks")).drop("blocks").where(F.col("block").isNotNull())
 
     near = F.lit(True)
     if neighbours is not None:
