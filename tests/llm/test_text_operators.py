@@ -301,6 +301,47 @@ def test_repair_compresses():
     assert len(packed["symbols"]) < 2 * len(ids) / 3
 
 
+def brute_repair(ids, least):
+    """Round after round over all of the sequence: (symbols, rules)."""
+    s, base, rules = list(ids), max(ids, default=-1) + 1, []
+    while True:
+        often = sorted(p for p, n in Counter(zip(s, s[1:])).items() if n >= least)
+        if not often:
+            return s, rules
+        number = {p: base + len(rules) + k for k, p in enumerate(often)}
+        rules, out, k = rules + often, [], 0
+        while k < len(s):
+            new = number.get(tuple(s[k : k + 2]))
+            out.append(s[k] if new is None else new)
+            k += 1 if new is None else 2
+        s = out
+
+
+# The check's CPU seconds of op5: a round after the first only looks at pairs with new symbols, and makes the same rules.
+def test_repair_rounds_look_at_new_symbols(monkeypatch):
+    draw, seen = np.random.default_rng(5), []
+    plain = tokenids._by_pair
+    monkeypatch.setattr(tokenids, "_by_pair", lambda pair: seen.append(len(pair)) or plain(pair))
+    for most, times in ((2, 1), (40, 1), (40, 9), (70_000, 9)):
+        ids = np.tile(draw.zipf(1.4, 900) % most, times).astype(np.uint32)
+        s, rules, base = tokenids.compress(ids, 8)
+        assert (s.tolist(), list(map(tuple, rules.tolist()))) == brute_repair(ids.tolist(), 8) and base == ids.max() + 1
+    ids = np.r_[np.arange(100, 60_000), np.tile(np.arange(16), 8)].astype(np.uint32)
+    seen.clear()
+    tokenids.compress(ids, 8)
+    assert len(seen) == 5 and sum(seen[1:]) < 300
+
+
+# The check's CPU seconds of op5: a word is looked up once for all its places.
+def test_texts_encoded_by_column():
+    own = tokenids.WordCoder()
+    texts = ["one two", None, "", " two\x0btwo ONE\x1cx <|endoftext|> ", "naïve, NAÏVE. 日本。", "<| One\n"] * 40
+    ids, upto = own.encode_column(pa.array(texts, pa.large_string()))
+    got = [ids[a:b].tolist() for a, b in zip(upto, upto[1:])]
+    assert got == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts] and len(ids) == upto[-1]
+    assert len(own.cache) < 20
+
+
 # op7
 
 def license_words(t):

@@ -33,6 +33,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ COUNTERS = 1 << 18
 CACHE = 1_200_000
 #: Arrow batches that are encoded at once.
 TOGETHER = 4
+#: Words whose ids are put out at once, so few that the places fit into a core's cache.
+WORDS = 1 << 15
 MARKS = frozenset(b".,;:!?|")
 #: How the tokenizer splits words of ASCII characters.
 SPLITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+", re.I).findall
@@ -81,80 +84,96 @@ class WordCoder:
     def _whole(self, word: bytes) -> bytes:
         return np.asarray(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _together(self, tokenizer, words: list[bytes], sizes: list[int], texts: list[str]) -> None:
+    def _together(self, tokenizer, words: list[bytes], sizes: list[int] | int, text: str) -> None:
         """Encodes words with one call, ``sizes`` split tokens each, and puts them into the cache if the ids come apart as they should."""
-        ids = np.asarray(tokenizer.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.is_end[ids]) + 1
-        if words and len(ends) == sum(sizes) and ends[-1] == len(ids):
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(words, (4 * ends[np.cumsum(sizes) - 1]).tolist()):
-                self.cache[w] = raw[at:end]
-                at = end
+        ids = np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends, upto = np.flatnonzero(self.is_end[ids]) + 1, np.cumsum(np.broadcast_to(sizes, len(words)))
+        if words and len(ends) == upto[-1] and ends[-1] == len(ids):
+            raw, at = ids.tobytes(), (4 * ends[upto - 1]).tolist()
+            self.cache.update(zip(words, [raw[a:b] for a, b in zip([0, *at], at)]))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Puts words, none with a special token, into the cache."""
-        cache, later, new = self.cache, [], set()
+        """Puts different words, none with a special token, into the cache."""
+        cache, later = self.cache, []
+        new = {w for w in words if w[-1] not in MARKS}
         for w in words:
-            # Punctuation after a letter is a token apart.
-            if w[-1] in MARKS and (w[-2:-1].isalpha() or w[-2:-1] > b"\x7f" and w.decode()[-2].isalpha()):
-                head = w[:-1]
-                later.append((w, head))
-                if head not in cache:
-                    new.add(head)
-            else:
-                new.add(w)
-        letters, plain, other, sizes = [], [], [], []
-        for w in new:
-            if w.isascii():
-                if w.isalpha():
-                    letters.append(w)
-                    plain.append(w.decode().lower())
+            if w[-1] in MARKS:
+                # Punctuation after a letter is a token apart.
+                if w[-2:-1].isalpha() or w[-2:-1] > b"\x7f" and w.decode()[-2].isalpha():
+                    head = w[:-1]
+                    later.append((w, head))
+                    if head not in cache:
+                        new.add(head)
                 else:
-                    other.append(w)
-                    sizes.append(len(SPLITS(w)))
+                    new.add(w)
+        letters, other, sizes, marked, low = [w for w in new if w.isalpha()], [], [], [], []
+        for w in new.difference(letters):
+            if w.isascii():
+                other.append(w)
+                sizes.append(len(SPLITS(w)))
             else:
                 t = w.decode()
-                low = t.lower()
+                x = t.lower()
                 # Letters that the normalizer only makes lower case, each for itself.
-                if low.isalpha() and len(low) == len(t) and "\u03a3" not in t and is_normalized("NFC", t) and is_normalized("NFC", low):
-                    letters.append(w)
-                    plain.append(low)
-        self._together(self.letters, letters, [1] * len(letters), plain)
-        self._together(self.tokenizer, other, sizes, [w.decode() for w in other])
-        for w in new:
-            if w not in cache:
-                cache[w] = self._whole(w)
+                if x.isalpha() and len(x) == len(t) and "\u03a3" not in t and is_normalized("NFC", t) and is_normalized("NFC", x):
+                    marked.append(w)
+                    low.append(x)
+        self._together(self.letters, letters, 1, b"\n".join(letters).lower().decode())
+        self._together(self.letters, marked, 1, "\n".join(low))
+        self._together(self.tokenizer, other, sizes, b"\n".join(other).decode())
+        alone = [w for w in new if w not in cache] + list({w[-1:] for w, _ in later}.difference(cache))
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+            cache[w] = np.asarray(e.ids, "<u4").tobytes()
         for w, head in later:
-            mark = w[-1:]
-            if mark not in cache:
-                cache[mark] = self._whole(mark)
-            cache[w] = cache[head] + cache[mark]
+            cache[w] = cache[head] + cache[w[-1:]]
 
-    def encode_many(self, raws: list[str | bytes]) -> list[bytes]:
-        """The ids of each text, or of its UTF-8 bytes, as little-endian unsigned 32-bit integers."""
-        split, unseen = [], set()
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each begin; ``texts`` are large_string, null as empty.
+
+        Arrow finds the words and numbers them, so Python sees each different word once, not at each of its places.
+        """
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
-        for t in raws:
-            raw = t if isinstance(t, bytes) else t.encode()
-            # A-Z in lower case have the same ids, but for special tokens.
-            words = raw.split() if b"<|" in raw and self.special.search(raw) else raw.lower().split()
-            split.append(words)
-            unseen.update(words)
-        own = {w: cache.get(w) for w in unseen}  # a small table is faster to go through
-        new = [w for w, ids in own.items() if ids is None]
-        plain = []
-        for w in new:
-            if b"<|" in w:
-                cache[w] = self._whole(w)
-            else:
-                plain.append(w)
+        cache[b""] = b""  # stands before, between and after words
+        texts = texts.fill_null("")
+        # A-Z in lower case have the same ids, but for special tokens.
+        low, odd = pc.ascii_lower(texts), pc.match_substring(texts, "<|")
+        if pc.any(odd).as_py():
+            odd = pa.array([o and self.special.search(t) is not None for o, t in zip(odd.to_pylist(), texts.cast(pa.large_binary()).to_pylist())])
+            low = pc.if_else(odd, texts, low)
+        split = pc.ascii_split_whitespace(low)
+        coded = split.values.dictionary_encode()
+        raw, at = coded.dictionary.buffers()[2], np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(coded.dictionary) + 1).tolist()
+        raw = raw.to_pybytes() if raw else b""
+        words = [raw[a:b] for a, b in zip(at, at[1:])]
+        own = list(map(cache.get, words))
+        new = [k for k, ids in enumerate(own) if ids is None]
+        plain = [words[k] for k in new]
+        if b"<|" in raw:
+            for w in plain:
+                if b"<|" in w:
+                    cache[w] = self._whole(w)
+            plain = [w for w in plain if b"<|" not in w]
         if plain:
             self._learn(plain)
-        own.update((w, cache[w]) for w in new)
-        get = own.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for k in new:
+            own[k] = cache[words[k]]
+        ids = np.frombuffer(b"".join(own), "<u4")
+        size = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        shift, codes = np.cumsum(size) - size, coded.indices.to_numpy()
+        upto = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(size[codes], out=upto[1:])
+        out = np.empty(int(upto[-1]), "<u4")
+        for k in range(0, len(codes), WORDS):
+            part, begin, end = codes[k : k + WORDS], int(upto[k]), int(upto[min(k + WORDS, len(codes))])
+            out[begin:end] = ids[np.repeat(shift[part] - upto[k : k + len(part)], size[part]) + np.arange(begin, end)]
+        return out, upto[split.offsets.to_numpy()]
+
+    def encode_many(self, raws: list[str | bytes]) -> list[bytes]:
+        """The ids of each text, or of its UTF-8 bytes, as little-endian unsigned 32-bit integers."""
+        ids, upto = self.encode_column(pa.array([t if isinstance(t, bytes) else t.encode() for t in raws], pa.large_binary()).view(pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(upto, upto[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -162,51 +181,83 @@ def coder(path: str | None = None) -> WordCoder:
     return WordCoder(path)
 
 
+def _by_pair(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted pairs), equal ones by place. Pairs of 32 bits are sorted as one number with their place, which is faster than to sort places."""
+    if pair.dtype == np.uint32:
+        both = np.sort(pair.astype(np.uint64) << np.uint64(32) | np.arange(len(pair), dtype=np.uint64))
+        return (both & np.uint64(0xFFFFFFFF)).astype(np.int64), both >> np.uint64(32)
+    order = np.argsort(pair, kind="stable")
+    return order, pair[order]
+
+
 def compress(ids: np.ndarray, least: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules, base): symbols below ``base`` are ids, ``base + i`` stands for the pair ``rules[i]``."""
+    """(symbols, rules, base): symbols below ``base`` are ids, ``base + i`` stands for the pair ``rules[i]``.
+
+    A round leaves no place of a pair that it replaces, and no other pair of old symbols gets more frequent, so the next one only
+    looks at pairs with a symbol of the round before.
+    """
     base = int(ids.max()) + 1 if len(ids) else 0
     room = (1 << 16 if base <= 1 << 16 else 1 << 32) - base
     # Pairs of 16-bit symbols are worked on as 32-bit numbers.
     half, kind, spread = (16, np.uint32, 0x9E3779B1) if base + room <= 1 << 16 else (32, np.uint64, 0x9E3779B97F4A7C15)
     s = ids.astype(kind)
-    rules = []
-    while len(s) > 1 and room > 0:
-        pair = s[:-1] << kind(half) | s[1:]
-        slot = pair * kind(spread) >> kind(2 * half - 18)
-        often = np.bincount(slot, minlength=COUNTERS) >= least
-        at = np.flatnonzero(often[slot])  # holds each pair that is frequent; others may share its counter
-        if not len(at):
-            break
-        known, code, count = np.unique(pair[at], return_inverse=True, return_counts=True)
+    rules, made = [], 0
+    look = np.arange(max(0, len(s) - 1))
+    while len(look) and made < room:
+        pair = s[look] << kind(half) | s[look + 1]
+        if len(look) > COUNTERS // 4:
+            slot = pair * kind(spread) >> kind(2 * half - 18)
+            often = np.bincount(slot, minlength=COUNTERS) >= least
+            some = np.flatnonzero(often[slot])  # holds each pair that is frequent; others may share its counter
+            look, pair = look[some], pair[some]
+        order, pair = _by_pair(pair)
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+        count = np.diff(np.r_[first, len(pair)])
         chosen = np.flatnonzero(count >= least)
         if not len(chosen):
             break
-        if len(chosen) > room:
-            chosen = np.sort(chosen[np.argsort(-count[chosen], kind="stable")[:room]])
-        symbol = np.full(len(known), -1, np.int64)
-        symbol[chosen] = base + sum(map(len, rules)) + np.arange(len(chosen))
-        new = symbol[code]
-        at, new = at[new >= 0], new[new >= 0]
+        if len(chosen) > room - made:
+            chosen = np.sort(chosen[np.argsort(-count[chosen], kind="stable")[: room - made]])
+        symbol = np.zeros(len(first), kind)
+        symbol[chosen] = np.arange(base + made, base + made + len(chosen), dtype=kind)
+        # By place again; 0 is no new symbol.
+        mark = np.zeros(len(s), kind)
+        mark[look[order]] = np.repeat(symbol, count)
+        at = np.flatnonzero(mark)
         # Of pairs that overlap in a run, every other one from the left.
-        head = np.r_[True, at[1:] != at[:-1] + 1]
-        place = np.arange(len(at))
-        place -= np.maximum.accumulate(np.where(head, place, 0))
-        at, new = at[place % 2 == 0], new[place % 2 == 0]
-        rules.append(np.stack([known[chosen] >> kind(half), known[chosen] & kind((1 << half) - 1)], axis=1))
-        room -= len(chosen)
-        s[at] = new.astype(kind)
+        head = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
+        at = at[(np.arange(len(at)) - np.repeat(head, np.diff(np.r_[head, len(at)]))) & 1 == 0]
+        known = pair[first[chosen]].astype(kind)
+        rules.append(np.stack([known >> kind(half), known & kind((1 << half) - 1)], axis=1))
+        made += len(chosen)
+        s[at] = mark[at]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
+        # Where the new symbols are now, and the places before them.
+        look = np.repeat(at - np.arange(len(at)), 2)
+        look[::2] -= 1
+        look = look[np.r_[True, look[1:] != look[:-1]] & (look >= 0) & (look < len(s) - 1)]
     return s, np.concatenate(rules) if rules else np.zeros((0, 2), kind), base
 
 
+def rounds(rules: np.ndarray, base: int):
+    """(begin, end) of rules that only need ids and rules before ``begin``, as those of one round do."""
+    top, begin = rules.max(axis=1, initial=0), 0
+    while begin < len(rules):
+        later = np.flatnonzero(top[begin:] >= base + begin)
+        end = begin + int(later[0]) if len(later) else len(rules)
+        yield begin, end
+        begin = end
+
+
 def pack(ids: np.ndarray) -> dict:
     """The blobs of a shard."""
     s, rules, base = compress(ids)
+    rules = rules.astype(np.int64)
     lengths = np.ones(base + len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.astype(np.int64).tolist()):
-        lengths[base + i] = lengths[a] + lengths[b]
+    for begin, end in rounds(rules, base):
+        lengths[base + begin : base + end] = lengths[rules[begin:end]].sum(axis=1)
     kind = "<u2" if base + len(rules) <= 1 << 16 else "<u4"
     upto = np.r_[0, np.cumsum(lengths[s.astype(np.int64)])]
     return {"n_ids": len(ids), "base": base, "symbols": s.astype(kind).tobytes(), "rules": rules.astype(kind).tobytes(), "lengths": lengths[base:].astype("<u4").tobytes(), "upto": upto[::STRIDE].astype("<u8").tobytes()}
@@ -223,25 +274,19 @@ class Shard:
         self.lengths = np.r_[np.ones(self.base, np.int64), lengths.astype(np.int64)]
         self.upto = np.frombuffer(row["upto"], "<u8")
 
-        # What each nonterminal stands for, one after the other; a rule's symbols come before it.
-        flat = [np.zeros(0, np.uint32)]
-        self.first = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
-        parts: list[np.ndarray] = []
-        for pair in self.rules.tolist():
-            parts.append(np.concatenate([parts[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in pair]))
-        self.flat = np.concatenate([*flat, *parts])
+        # What each symbol stands for, one after the other; a round's symbols are made of those of the rounds before.
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.arange(int(self.lengths.sum()), dtype=np.uint32)
+        for a, b in rounds(self.rules, self.base):
+            made = self.expand(self.rules[a:b].ravel())
+            at = int(self.first[self.base + a])
+            self.flat[at : at + len(made)] = made
 
     def expand(self, s: np.ndarray) -> np.ndarray:
         size = self.lengths[s]
         end = np.cumsum(size)
-        out = np.repeat(s.astype(np.uint32), size)
-        over = np.flatnonzero(size > 1)
-        size = size[over]
-        # Places of what nonterminals stand for, in the result and in the flat table.
-        shift = np.cumsum(size) - size
-        within = np.arange(int(size.sum())) - np.repeat(shift, size)
-        out[np.repeat(end[over] - size, size) + within] = self.flat[np.repeat(self.first[s[over].astype(np.int64) - self.base], size) + within]
-        return out
+        # Places in the flat table of what symbols stand for.
+        return self.flat[np.repeat(self.first[s] - (end - size), size) + np.arange(int(size.sum()))]
 
     def ids(self, begin: int = 0, end: int | None = None) -> np.ndarray:
         end = self.n if end is None else min(end, self.n)
@@ -262,7 +307,7 @@ def token_files(df: DataFrame, path: str | None = None, text: str = "text", id_c
     python_batches(spark)
     id_kind = df.schema[id_col].dataType.simpleString()
     kind, arrow = schemas(FILES.format(id=id_kind))
-    mark = np.uint32(end).tobytes()
+    mark = np.array([end], "<u4")
 
     def run(batches):
         gc.disable()  # the cache has no cycles, and going through it again and again takes long
@@ -271,8 +316,7 @@ def token_files(df: DataFrame, path: str | None = None, text: str = "text", id_c
 
         def shard():
             nonlocal before, held
-            x = np.frombuffer(b"".join(ids), "<u4")
-            blobs = pack(x)
+            blobs = pack(np.concatenate(ids))
             row = {"part": part, "before": before, "doc_ids": list(names), "doc_lengths": list(sizes), **blobs}
             before += held
             held = 0
@@ -282,11 +326,12 @@ def token_files(df: DataFrame, path: str | None = None, text: str = "text", id_c
 
         while group := list(islice(batches, TOGETHER)):
             batch = pa.Table.from_batches(group)
-            held_texts = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for name, raw in zip(batch.column(0).to_pylist(), own.encode_many(held_texts)):
-                ids += (raw, mark)
+            flat, upto = own.encode_column(pa.concat_arrays(batch.column(1).cast(pa.large_binary()).chunks).view(pa.large_string()))
+            upto = upto.tolist()
+            for name, a, b in zip(batch.column(0).to_pylist(), upto, upto[1:]):
+                ids += (flat[a:b], mark)
                 names.append(name)
-                sizes.append(len(raw) // 4 + 1)
+                sizes.append(b - a + 1)
                 held += sizes[-1]
                 if held >= SHARD_IDS:
                     yield shard()
